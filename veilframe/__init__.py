@@ -1,0 +1,6 @@
+"""Privacy-preserving data profiles of tables, as Spark plans."""
+
+from .errors import InvalidInputError, UnsupportedFormatError, VeilError
+from .options import Options
+
+__all__ = ["InvalidInputError", "Options", "UnsupportedFormatError", "VeilError"]
