@@ -11,22 +11,25 @@ from pyspark.sql import types as T
 from ..functions import scalars as s
 
 
+Rule = Column | bool
+
+
 @dataclass(frozen=True)
 class Cell:
-    """One column's expressions. Integers, numbers, dates and timestamps need no pattern to be told apart."""
+    """One column's expressions. What the column's type already decides is True or False, and costs no pattern."""
 
     index: int
     header: str
     text: Column
     present: Column
     missing: Column
-    boolean: Column
-    integer: Column
-    numeric: Column
-    date: Column
-    datetime: Column
-    long: Column
-    number: Column
+    boolean: Rule
+    integer: Rule
+    numeric: Rule
+    date: Rule
+    datetime: Rule
+    long: Rule
+    number: Column | None
 
     @property
     def filled(self) -> Column:
@@ -35,23 +38,22 @@ class Cell:
 
 def cell(df: DataFrame, name: str, index: int, header: str | None = None, present: Column | None = None, number: Column | None = None) -> Cell:
     """number: where numbers come from, if not from the text (workbooks)."""
-    col, kind, no, yes = F.col(f"`{name}`"), df.schema[name].dataType, F.lit(False), F.lit(True)
-    there = present if present is not None else yes
+    col, kind = F.col(f"`{name}`"), df.schema[name].dataType
+    there = present if present is not None else F.lit(True)
     own = {"index": index, "header": header if header is not None else name, "present": there}
+    plain = {"text": col.cast("string"), "missing": col.isNull(), "boolean": False, "integer": False, "numeric": False, "date": False, "datetime": False, "long": False, "number": None}
     if isinstance(kind, T.IntegralType):
-        return Cell(**own, text=col.cast("string"), missing=col.isNull(), boolean=col.isin(0, 1), integer=yes, numeric=yes, date=no, datetime=no, long=no, number=col.cast("double"))
+        return Cell(**own | plain | {"boolean": col.isin(0, 1), "integer": True, "numeric": True, "number": col.cast("double")})
     if isinstance(kind, T.FractionalType):
-        d = col.cast("double")
-        return Cell(**own, text=col.cast("string"), missing=col.isNull() | F.isnan(d), boolean=no, integer=no, numeric=yes, date=no, datetime=no, long=no, number=d)
+        return Cell(**own | plain | {"missing": col.isNull() | F.isnan(col.cast("double")), "numeric": True, "number": col.cast("double")})
     if isinstance(kind, T.BooleanType):
-        return Cell(**own, text=col.cast("string"), missing=col.isNull(), boolean=yes, integer=no, numeric=no, date=no, datetime=no, long=no, number=F.lit(None).cast("double"))
+        return Cell(**own | plain | {"boolean": True})
     if isinstance(kind, T.DateType):
-        return Cell(**own, text=col.cast("string"), missing=col.isNull(), boolean=no, integer=no, numeric=no, date=yes, datetime=no, long=no, number=F.lit(None).cast("double"))
+        return Cell(**own | plain | {"date": True})
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return Cell(**own, text=col.cast("string"), missing=col.isNull(), boolean=no, integer=no, numeric=no, date=no, datetime=yes, long=no, number=F.lit(None).cast("double"))
+        return Cell(**own | plain | {"datetime": True})
     text = col if isinstance(kind, T.StringType) else F.to_json(col) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else col.cast("string")
     t = s.trim(text)
-    # digits or a sign come first in whatever is a number or date, but for month names and words for infinity
     return Cell(**own, text=text, missing=s.is_missing(text), boolean=s.is_boolean(t), integer=s.is_integer(t), numeric=s.is_numeric(t), date=s.is_date(t), datetime=s.is_datetime(t), long=s.is_long(text), number=number if number is not None else s.parse_numeric(t))
 
 

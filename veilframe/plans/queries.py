@@ -13,11 +13,11 @@ from ..functions import scalars as s
 from ..operators import frequencies as fr
 from ..operators import recode
 from ..operators.cells import cells_of, long_form
-from ..operators.infer import first_pass, infer_types
+from ..operators.infer import infer_types
 from ..operators.p2 import p2_by_column
 from ..options import Options
 from . import spec
-from .profile import profile
+from .profile import measured, profile
 
 SCHEMAS = {
     "region": "r_regionkey r_name",
@@ -214,8 +214,8 @@ def infer_dtype(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name in INFERRED:
         df = table(spark, sf_dir, name).withColumn("__row", F.monotonically_increasing_id())
         cells = cells_of(df, columns=INFERRED[name].split())
-        got = df.agg(*[a for c in cells for a in first_pass(c, F.col("__row"))]).first()
-        types = infer_types(df, cells, F.col("__row"), got)
+        marked, got = measured(df, cells, "__row", numbers=False)
+        types = infer_types(marked, cells, F.col("__row"), got)
         out += [(f"{name}.{c.header}", types[c.index]) for c in cells]
     return spark.createDataFrame(out, "col string, dtype string")
 

@@ -82,6 +82,10 @@ def string_block(values: list[tuple[str, int]], header: str, kinds: list[str | N
     return None
 
 
+def _rule(x):
+    return F.lit(x) if isinstance(x, bool) else x
+
+
 def spec_sheet(df: DataFrame, name: str, index: int, options: Options, names: NameLists | None = None, headers: list[str] | None = None, workbook: bool = False, **kwargs) -> tuple[dict, list[str], list[str]]:
     """One sheet, its risky columns and those whose values were withheld."""
     names, k, bucketed = names or NameLists.of(), options.k, options.bucketed
@@ -93,11 +97,12 @@ def spec_sheet(df: DataFrame, name: str, index: int, options: Options, names: Na
     aggs = []
     for c in cells:
         t, own = s.trim(c.text), c.filled
-        aggs += [F.avg(F.when(own, (~c.numeric).cast("int"))).alias(f"bad_{c.index}"), F.avg(F.when(own, F.length(c.text))).alias(f"size_{c.index}")]
+        aggs += [F.avg(F.when(own, (~_rule(c.numeric)).cast("int"))).alias(f"bad_{c.index}"), F.avg(F.when(own, F.length(c.text))).alias(f"size_{c.index}")]
         aggs += [F.min(F.when(own, s.parse_date(t))).alias(f"d0_{c.index}"), F.max(F.when(own, s.parse_date(t))).alias(f"d1_{c.index}")]
         stamp = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(t, "T", " "), "Z$", ""))
-        aggs += [F.min(F.when(own & c.datetime, stamp)).alias(f"t0_{c.index}"), F.max(F.when(own & c.datetime, stamp)).alias(f"t1_{c.index}")]
-        aggs += [F.bool_and(F.when(own, c.number.isNotNull() & c.number.between(1, 2958465) & (c.number == F.floor(c.number)))).alias(f"serial_{c.index}"), F.percentile(F.when(own, c.number), 0.5).alias(f"med_{c.index}") if method == "exact" else F.percentile_approx(F.when(own, c.number), 0.5, 10_000).alias(f"med_{c.index}")]
+        aggs += [F.min(F.when(own & _rule(c.datetime), stamp)).alias(f"t0_{c.index}"), F.max(F.when(own & _rule(c.datetime), stamp)).alias(f"t1_{c.index}")]
+        x = F.when(own, c.number if c.number is not None else F.lit(None).cast("double"))
+        aggs += [F.bool_and(F.when(own, F.coalesce(x.between(1, 2958465) & (x == F.floor(x)), F.lit(False)))).alias(f"serial_{c.index}"), (F.percentile(x, 0.5) if method == "exact" else F.percentile_approx(x, 0.5, 10_000)).alias(f"med_{c.index}")]
     got = df.agg(*aggs).first()
     few = [c for c in cells if (n := base.columns[c.index].n_distinct) is not None and n <= CATEGORIES]
     lists: dict[int, list[tuple[str, int]]] = {}

@@ -40,7 +40,8 @@ def batch_moments(df: DataFrame) -> dict[str, Moments]:
     cells = cells_of(df)
     aggs = [F.count(F.lit(1)).alias("rows")]
     for c in cells:
-        x = F.when(c.filled & ~F.isnan(c.number), c.number)
+        number = c.number if c.number is not None else F.lit(None).cast("double")
+        x = F.when(c.filled & ~F.isnan(number), number)
         aggs += [F.count(F.when(c.missing, 1)).alias(f"miss{c.index}"), F.count(x).alias(f"n{c.index}"), F.avg(x).alias(f"mean{c.index}"), F.var_pop(x).alias(f"var{c.index}"), F.min(x).alias(f"low{c.index}"), F.max(x).alias(f"high{c.index}")]
     got = df.agg(*aggs).first()
     return {c.header: Moments(got["rows"], got[f"miss{c.index}"], got[f"n{c.index}"], got[f"mean{c.index}"] or 0.0, (got[f"var{c.index}"] or 0.0) * got[f"n{c.index}"], got[f"low{c.index}"], got[f"high{c.index}"]) for c in cells}
