@@ -27,7 +27,8 @@ from .common import bounds_of, bucket_of, shuffle_partitions
 PARAGRAPH = 200
 CELLS = 12
 GROWTH = 4
-TRIES = 12
+SPARSE = 64
+MOST_CELLS = 1 << 20
 BATCH_CHARS = 2 << 20
 
 _CUT = re.compile(rb"[^\n.!?]{1,%d}[\n.!?]*|[\n.!?]+" % PARAGRAPH)
@@ -106,7 +107,8 @@ class Tables:
             pure = (np.abs(sign) == 1) & (_mix(values, 0) * sign.astype(np.uint64) == self.check[look])
             look, sign, values = look[pure], sign[pure], values[pure]
             owner = look // self.cells
-            _, first = np.unique(values + owner.astype(np.uint64) * _ODD, return_index=True)
+            # a digest may be single in two or three cells; mixed, as those of a repeated paragraph lie _ODD apart
+            _, first = np.unique(_mix(values, 5) + owner.astype(np.uint64) * _ODD, return_index=True)
             sign, values, owner = sign[first], values[first], owner[first]
             np.add.at(found, owner, 1)
             self.add(values, owner, -sign)
@@ -132,22 +134,27 @@ def likeness(digests: Digests, base: Tables, a: np.ndarray, b: np.ndarray) -> np
     """For the texts a[k] and b[k] the share of paragraphs in which they don't differ (1 if both have none)."""
     total = digests.counts[a] + digests.counts[b]
     apart, todo, cells = np.zeros(len(a), np.int64), np.arange(len(a)), base.cells
-    for _ in range(TRIES):
-        if cells == base.cells:
-            diff = base.rows(a).minus(base.rows(b))
-        else:
-            diff = Tables(len(todo), cells)
-            for side, sign in ((a, 1), (b, -1)):
-                values, owner = digests.of(side[todo])
-                diff.add(values, owner, sign)
-        found, ok = diff.peel()
-        apart[todo[ok]] = found[ok]
-        todo, cells = todo[~ok], cells * GROWTH
-        if not len(todo):
-            break
-    for k in todo.tolist():  # not even a table of millions of cells could be peeled: two digests that collide in every cell
-        x, y = (digests.values[digests.at[i] : digests.at[i + 1]] for i in (a[k], b[k]))
-        apart[k] = len(np.setxor1d(x, y))
+    while len(todo):
+        again = []
+        for k in range(0, len(todo), step := max(1, MOST_CELLS // cells)):
+            part = todo[k : k + step]
+            if cells == base.cells:
+                diff = base.rows(a[part]).minus(base.rows(b[part]))
+            else:
+                diff = Tables(len(part), cells)
+                for side, sign in ((a, 1), (b, -1)):
+                    values, owner = digests.of(side[part])
+                    diff.add(values, owner, sign)
+            found, ok = diff.peel()
+            apart[part[ok]] = found[ok]
+            again.append(part[~ok])
+        todo, cells = np.concatenate(again), cells * GROWTH
+        # a table far larger than both texts that still can't be peeled has digests that collide in every cell
+        hopeless = cells > SPARSE * np.maximum(total[todo], CELLS)
+        for k in todo[hopeless].tolist():
+            x, y = (digests.values[digests.at[i] : digests.at[i + 1]] for i in (a[k], b[k]))
+            apart[k] = len(np.setxor1d(x, y))
+        todo = todo[~hopeless]
     return np.where(total > 0, 1 - apart / np.maximum(total, 1), 1.0)
 
 
