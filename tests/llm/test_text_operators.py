@@ -1,0 +1,195 @@
+"""Decontamination, fingerprints, licenses, secrets: brute force and edge cases."""
+
+import hashlib
+import math
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from veilframe.llm import decontam, iblt, licenses, secrets
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+ASCII = {i: i + 32 for i in range(65, 91)}
+
+
+def words(text):
+    return WORD.findall((text or "").translate(ASCII))
+
+
+def brute_decontam(docs, items):
+    out = {}
+    for doc, text in docs:
+        w, hit, found = words(text), set(), set()
+        for item, t in items:
+            own = words(t)
+            n = min(13, len(own))
+            windows = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)} if own else set()
+            for i in range(len(w) - n + 1) if n else ():
+                if tuple(w[i : i + n]) in windows:
+                    hit |= set(range(i, i + n))
+                    found.add("null" if item is None else str(item))
+        out[doc] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
+    return out
+
+
+@pytest.fixture(scope="module")
+def passages():
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(12)] + ["É", "x9", "Ünd"]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i, text(n)) for i, n in enumerate((20, 13, 14, 5, 1, 30, 12))] + [(7, ""), (8, None), (None, text(16)), (10, text(15)), (10, text(17))]
+    items.append((11, items[0][1]))
+    docs = [(0, None), (1, ""), (2, "..."), (3, items[0][1]), (4, items[0][1].upper() + "!"), (5, text(400))]
+    for i in range(6, 40):
+        a = rng.choice([t for _, t in items if t])
+        docs.append((i, text(rng.randrange(60)) + " " + ", ".join(a.split()) + "\n" + text(rng.randrange(200))))
+    docs += [(40, docs[10][1]), (41, (items[5][1] + " ") * 30)]
+    return docs, items
+
+
+def test_decontamination_is_brute_force(spark, passages):
+    docs, items = passages
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], "doc_id long, text string, n_hit string, spans int").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_decontam(docs, items)
+    for block in (8 << 20, 60):  # the second is searched in several blocks
+        few = df.select("doc_id", "text")
+        out, names = decontam.annotate(few, bench, block_bytes=block)
+        got = {r["doc_id"]: (r[names["words"]], r[names["hits"]], len(r[names["items"]]), decontam.items_digest(r[names["items"]])) for r in out.collect()}
+        assert got == {k: v[:4] for k, v in want.items()}
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontam.report(df, bench).collect()}
+    assert got == want
+    kept = decontam.drop_contaminated(df, bench)
+    assert kept.columns == df.columns
+    assert {r["doc_id"] for r in kept.collect()} == {k for k, v in want.items() if not v[4]}
+
+
+def test_decontamination_of_nothing(spark):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string")
+    assert sorted(r["n_words"] for r in decontam.report(docs, bench).collect()) == [0, 2, 2]
+    assert decontam.report(docs.limit(0), bench).count() == 0
+
+
+def test_fm_index_counts_and_locates():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    seq = np.append(rng.integers(0, 4, 3000), 0)
+    index = decontam.FMIndex(seq, 4, sample=5)
+    for n in (1, 2, 3, 5):
+        pats = rng.integers(1, 4, (40, n))
+        which, lo, hi = index.search(pats)
+        found = {int(k): sorted(index.locate(np.arange(a, b)).tolist()) for k, a, b in zip(which, lo, hi, strict=True)}
+        for k, p in enumerate(pats):
+            assert found.get(k, []) == [i for i in range(len(seq) - n + 1) if (seq[i : i + n] == p).all()]
+
+
+def brute_fingerprints(docs):
+    docs = sorted(docs, key=lambda d: d[0])
+    out = {}
+    for k, (doc, text) in enumerate(docs):
+        text, following = text or "", docs[(k + 1) % len(docs)][1] or ""
+        n = len(text) // 4
+        new = text[: len(text) - n] + following[:n]
+        cut = lambda t: sorted(iblt._CUT.findall(t.encode()))
+
+        def like(a, b):
+            a, b = cut(a), cut(b)
+            both = list(a)
+            common = sum(1 for x in b if x in both and not both.remove(x))
+            return 2 * common / (len(a) + len(b)) if a or b else 1.0
+
+        out[doc] = (len(text), hashlib.sha256(new.encode()).hexdigest(), like(text, new), like(text, following))
+    return out
+
+
+def test_fingerprints_are_brute_force(spark):
+    rng = random.Random(2)
+    line = lambda: " ".join(rng.choice("ab cd éf gh𝄞 ij kl".split()) for _ in range(rng.randrange(1, 9))) + rng.choice([".", "!", "\n"])
+    docs = [(i * 3, "".join(line() for _ in range(rng.randrange(1, 80)))) for i in range(60)]
+    docs += [(500, None), (501, ""), (502, "x"), (503, "same. same. same. same. same."), (504, "same. same."), (505, "z" * 5000), (506, docs[5][1]), (507, "".join(line() for _ in range(2000)))]
+    df = spark.createDataFrame([(i, t, 9) for i, t in docs], "doc_id long, text string, n_chars int").repartition(5)
+    got = {r["doc_id"]: r for r in iblt.compare_with_next(df).collect()}
+    want = brute_fingerprints(docs)
+    assert got.keys() == want.keys()
+    for k, (n, sha, a, b) in want.items():
+        assert (got[k]["n_chars"], got[k]["edited_sha256"]) == (n, sha)
+        assert got[k]["near_edited"] == pytest.approx(a, abs=1e-12) and got[k]["near_next"] == pytest.approx(b, abs=1e-12)
+    assert got[506]["fingerprint"] == got[15]["fingerprint"] != got[18]["fingerprint"]
+    assert got[500]["fingerprint"] == got[501]["fingerprint"]
+
+
+def test_fingerprints_of_few_and_odd_rows(spark):
+    schema = "doc_id long, text string"
+    assert iblt.compare_with_next(spark.createDataFrame([], schema)).count() == 0
+    one = iblt.compare_with_next(spark.createDataFrame([(7, "abcdefgh")], schema)).first()
+    assert one["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest() and one["near_next"] == 1.0
+    odd = iblt.compare_with_next(spark.createDataFrame([(1, "a"), (1, "a"), (None, "b"), (None, None), (2, "c")], schema)).collect()
+    assert sorted((r["doc_id"] is None, r["n_chars"]) for r in odd) == [(False, 1), (False, 1), (False, 1), (True, 0), (True, 1)]
+
+
+def test_licenses_are_brute_force(spark):
+    rng = random.Random(3)
+    filler = "the of and in this work is under a b c source code software license version 2 0 by cc".split()
+    docs = [(0, None), (1, ""), (2, "Licensed under the Apache-License"), (3, "GNU general\n\npublic; license mit license"), (4, "xmit license mit licensee"), (5, "éapache license"), (6, "cc by cc by CC BY"), (7, "Redistribution and use in source and\nbinary forms, with or without modification,\nare permitted provided that the following\nconditions are met:")]
+    for i in range(8, 60):
+        lines = [" ".join(rng.choice(filler) for _ in range(rng.randrange(12))) for _ in range(rng.randrange(6))]
+        template = rng.choice(list(licenses.TEMPLATES)).split()
+        lines.insert(rng.randrange(len(lines) + 1), " ".join(w for w in template if rng.random() < 0.85))
+        docs.append((i, "\n".join(lines)))
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([(i, t, "l") for i, t in docs], "doc_id long, text string, labels string")).collect()}
+    for i, text in docs:
+        w = words(text)
+        places = sorted((k, v) for p, v in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split())
+        base = {v for _, v in places}
+        lines, more, best = (text or "").split("\n"), set(), 0.0
+        for k in range(len(lines)):
+            block = set(words("\n".join(lines[k : k + licenses.LINES])))
+            for t, v in licenses.TEMPLATES.items():
+                own = set(t.split())
+                if len(own & block) >= math.ceil(licenses.SHARE * len(own) - 1e-9):
+                    more.add(v)
+                    best = max(best, len(own & block) / len(own))
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(places), places[0][0] if places else None, places[-1][0] if places else None), text
+        assert (r["base_labels"], r["labels"]) == (",".join(sorted(base)), ",".join(sorted(base | more))), text
+        assert r["score"] == pytest.approx(1.0 if places else best)
+    assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def brute_secrets(text):
+    spans = []
+    for k, (_, pattern, group, least) in enumerate(secrets.KINDS):
+        spans += [(m.start(), k, m.end()) for m in re.finditer(pattern, text) if len(m.group(group)) >= least]
+    base = sorted(spans)
+    for m in re.finditer(secrets.CANDIDATE % secrets.WINDOW, text):
+        s, w = m.group(), secrets.WINDOW
+        if any(a < m.end() and m.start() < b for a, _, b in base):
+            continue
+        if all(re.fullmatch(r"[A-Za-z]?[a-z]*|[A-Z]+|[0-9]+", p) for p in re.split(r"[-_/+=]", s)) or len(set(s)) == 1 or re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", s):
+            continue
+        bits = secrets.CLASSES[0][2] if re.fullmatch("[0-9A-Fa-f]+", s) else secrets.CLASSES[1][2]
+        sums = [sum(secrets._term(s[i : i + w].count(c)) for c in set(s[i : i + w])) for i in range(len(s) - w + 1)]
+        if min(sums) <= secrets.most_repetition(bits, w):
+            spans.append((m.start(), len(secrets.KINDS), m.end()))
+    name = [*(k for k, *_ in secrets.KINDS), "entropy"]
+    say = lambda x: ",".join(f"{name[k]}:{a}:{b}" for a, k, b in sorted(x))
+    return [sum(k == j for _, k, _ in base) for j in range(3)] + [hashlib.sha256(say(base).encode()).hexdigest(), say(spans)]
+
+
+def test_secrets_are_brute_force(spark):
+    rng = random.Random(4)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = lambda n, a=alphabet: "".join(rng.choice(a) for _ in range(n))
+    texts = [None, "", "password = token: abcdefg", "TOKEN='abc' api_key:abcdef Api-Key=x", f"𝄞é secret := nope token={key(8)}", "AKIA" + "A" * 15, "xAKIA" + "Z9" * 8, "deadbeef" * 3, "g" + "0123456789abcdef" * 2, key(40), "a-quick-brown-fox-jumps-over", "0123456789" * 4, "x" * 30, "123e4567-e89b-12d3-a456-426614174000", key(64, "0123456789abcdefABCDEF"), "passwordpassword=hunter2hunter2 token=" + key(30), "a1-" * 20000]
+    for _ in range(60):
+        texts.append(" ".join(rng.choice([key(rng.randrange(1, 50)), "the", f"token = {key(rng.randrange(1, 20))}", "AKIA" + key(18, "ABCDEF123"), key(30, "abcdef01"), "é" * 5]) for _ in range(12)))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("spans", F.lit(1))
+    got = {r["doc_id"]: [r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"], r["spans"]] for r in secrets.scan(df).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == brute_secrets(t or ""), t
+    assert any("entropy" in v[4] for v in got.values())
+    assert secrets.scan(df.limit(0)).count() == 0

@@ -55,9 +55,9 @@ def features(texts: list[bytes | None], table: np.ndarray) -> tuple[np.ndarray,
     last = np.repeat(ends, np.diff(np.append(starts, len(c))))
     letters = np.add.reduceat((c != 0).astype(np.int64), starts) > 0
     out, h, at = np.empty((ORDERS, len(c)), np.int32), np.zeros(len(c), np.uint64), np.arange(len(c))
+    padded = np.append(c, np.zeros(ORDERS, np.uint64))
     for n in range(1, ORDERS + 1):
-        step = c if n == 1 else np.append(c[n - 1 :], np.zeros(n - 1, np.uint64))
-        h = (h + step + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h + padded[n - 1 : n - 1 + len(c)] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
         out[n - 1] = ((h * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(48)).astype(np.int32)
         out[n - 1][at + n > last] = BUCKETS

@@ -101,7 +101,7 @@ def minimax_cuts(sums: DataFrame, total: int, shards: int, listed: int = LISTED)
         if low == high:
             break
         ranges = [r for a, b in zip(known.fill(low, shards, False), known.fill(high, shards, True), strict=True) if (r := known.open(a, b))]
-        ranges = _joined(ranges)
+        ranges, listed = _joined(ranges), 2 * listed  # twice as fine each time, so that every round gains on the one before
         known.refine(ranges, _listed(sums, ranges, listed))
     while True:  # a cut may still stand in a gap, though the capacity is known
         cuts, hoped = known.fill(low, shards, False), known.fill(low, shards, True)
@@ -111,6 +111,7 @@ def minimax_cuts(sums: DataFrame, total: int, shards: int, listed: int = LISTED)
         ranges = _joined([r for k in range(first, shards) if (r := known.open(cuts[k], hoped[k]))])
         if not ranges:
             return cuts
+        listed *= 2
         known.refine(ranges, _listed(sums, ranges, listed))
 
 
