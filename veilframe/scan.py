@@ -13,7 +13,7 @@ from .functions.phi import NameLists
 from .operators.recode import sidekick
 from .options import Options
 from .plans import manifest as mf
-from .plans.profile import TableProfile, profile
+from .plans.profile import WIDE_TEXT, TableProfile, profile
 from .sources.detect import format_of, sha256_of
 
 
@@ -41,14 +41,14 @@ def scan(spark: SparkSession, path: str, options: Options = Options(), names: Na
             if header:
                 n = len(header)
                 df = read_sheet(spark, path, i)
-                table = profile(df, options, names, header, numbers={f"c{k}": f"n{k}" for k in range(n)}, columns=[f"c{k}" for k in range(n)], workbook=True)
+                table = profile(df, options, names, header, numbers={f"c{k}": f"n{k}" for k in range(n)}, columns=[f"c{k}" for k in range(n)], workbook=True, wide=WIDE_TEXT)
             tables.append(table)
             sheets.append(mf.sheet(name, i, table, options))
     else:
         from .sources.text import RAW, read_text
 
         df, header, present = read_text(spark, path, "\t" if kind == "tsv" else ",", multi_line)
-        table = profile(df, options, names, header, present=present, columns=[c for c in df.columns if c != RAW]) if header else TableProfile(0, [])
+        table = profile(df, options, names, header, present=present, columns=[c for c in df.columns if c != RAW], wide=WIDE_TEXT) if header else TableProfile(0, [])
         tables.append(table)
         one = mf.sheet(file_name, 0, table, options)
         if not header:
