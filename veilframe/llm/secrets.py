@@ -56,29 +56,48 @@ def most_repetition(bits: float, window: int) -> int:
     return math.floor(UNIT * window * (math.log2(window) - bits))
 
 
+def _with(value: Column, use) -> Column:
+    """use(value), where value is worked out once however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def least_sum(string: Column, window: int) -> Column:
-    """The smallest sum of n log2 n (millionths) over character counts in any window, by incremental counts."""
+    """The smallest sum of n log2 n (millionths) over character counts in any window, by incremental counts.
+
+    Strings are ASCII and as long as the window at least. Each step takes the character that
+    leaves (-1 in the first window) and that which enters from arrays, so the work is linear in the length.
+    """
     terms = F.lit([_term(n) for n in range(window + 2)])
     term = lambda n: F.element_at(terms, n + 1)
+    codes = F.transform(F.split(string, ""), F.ascii)
     start = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0).cast("bigint").alias("sum"), F.lit(None).cast("bigint").alias("best"))
 
     def put(counts, code, by):
-        """counts with one changed, and the change in the sum."""
-        was = F.element_at(counts, code + 1)
-        return F.concat(F.slice(counts, 1, code), F.array(was + by), F.slice(counts, code + 2, 127 - code)), term(was + by) - term(was)
-
-    def step(s, i):
-        enters = F.ascii(F.substring(string, i, F.lit(1)))
-        n, change = put(s["n"], enters, 1)
-        leaves = F.ascii(F.substring(string, i - window, F.lit(1)))
-        was = F.element_at(n, leaves + 1)
-        full = i > window
-        less = F.when(full, F.concat(F.slice(n, 1, leaves), F.array(was - 1), F.slice(n, leaves + 2, 127 - leaves))).otherwise(n)
-        total = s["sum"] + change + F.when(full, term(was - 1) - term(was)).otherwise(0)
-        best = F.when(i < window, s["best"]).otherwise(F.least(total, s["best"]))
-        return F.struct(less.alias("n"), total.cast("bigint").alias("sum"), best.cast("bigint").alias("best"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.length(string)), start, step, lambda s: s["best"])
+        return F.concat(F.slice(counts, 1, code), F.array(F.element_at(counts, code + 1) + by), F.slice(counts, code + 2, 127 - code))
+
+    def step(s, x):
+        enters, leaves = x["enters"], x["leaves"]
+        full = leaves >= 0
+        was = F.element_at(s["n"], leaves + 1)
+        less = F.when(full, put(s["n"], leaves, -1)).otherwise(s["n"])
+        kept = s["sum"] + F.when(full, term(was - 1) - term(was)).otherwise(0)
+
+        def enter(t):
+            had = F.element_at(t["n"], enters + 1)
+            return F.struct(put(t["n"], enters, 1).alias("n"), (t["sum"] + term(had + 1) - term(had)).cast("bigint").alias("sum"))
+
+        def judge(t):
+            best = F.when(x["ends"], F.least(t["sum"], s["best"])).otherwise(s["best"])
+            return F.struct(t["n"].alias("n"), t["sum"].alias("sum"), best.cast("bigint").alias("best"))
+
+        return _with(_with(F.struct(less.alias("n"), kept.alias("sum")), enter), judge)
+
+    def steps(c):
+        leaving = F.concat(F.array_repeat(F.lit(-1), window), F.slice(c, 1, F.size(c) - window))
+        ends = F.concat(F.array_repeat(F.lit(False), window - 1), F.array_repeat(F.lit(True), F.size(c) - (window - 1)))
+        return F.aggregate(F.arrays_zip(c.alias("enters"), leaving.alias("leaves"), ends.alias("ends")), start, step, lambda s: s["best"])
+
+    return _with(codes, steps)
 
 
 def allowed(string: Column) -> Column:
