@@ -187,6 +187,7 @@ def test_secrets_are_brute_force(spark):
     texts = [None, "", "password = token: abcdefg", "TOKEN='abc' api_key:abcdef Api-Key=x", f"𝄞é secret := nope token={key(8)}", "AKIA" + "A" * 15, "xAKIA" + "Z9" * 8, "deadbeef" * 3, "g" + "0123456789abcdef" * 2, key(40), "a-quick-brown-fox-jumps-over", "0123456789" * 4, "x" * 30, "123e4567-e89b-12d3-a456-426614174000", key(64, "0123456789abcdefABCDEF"), "passwordpassword=hunter2hunter2 token=" + key(30), "a1-" * 20000]
     for _ in range(60):
         texts.append(" ".join(rng.choice([key(rng.randrange(1, 50)), "the", f"token = {key(rng.randrange(1, 20))}", "AKIA" + key(18, "ABCDEF123"), key(30, "abcdef01"), "é" * 5]) for _ in range(12)))
+    texts.append(" ".join(rng.choice([key(rng.randrange(15, 40)), f"token={key(rng.randrange(1, 30))}", f"secret: token:{key(9)}", key(26, "abcdef01"), "AKIA" + key(rng.randrange(1, 30), "ABCDEF123")]) for _ in range(2500)))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("spans", F.lit(1))
     got = {r["doc_id"]: [r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"], r["spans"]] for r in secrets.scan(df).collect()}
     for i, t in enumerate(texts):

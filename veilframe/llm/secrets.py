@@ -28,23 +28,65 @@ CLASSES = (("hex", r"^[0-9A-Fa-f]+$", 3.0), ("base64", r"", 3.8))
 UNIT = 1_000_000
 """Entropies are compared in millionths, in whole numbers."""
 
-_EMPTY = "array<struct<start:int,kind:int,stop:int>>"
+#: The same matches without those that are too short, which lie within runs that no other match can share.
+LONG_ONLY = {"access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
+
+_SPAN = "struct<start:int,kind:int,stop:int,match:string>"
+
+
+def _with(value: Column, use) -> Column:
+    """use(value), where value is worked out once however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def scanned(items: Column, zero: int, step) -> Column:
+    """The integer state after each item: step(state, item), from zero on.
+
+    An array that grows is copied with each item. Blocks of about the square root of n
+    items bound that by n ** 1.5 small steps in all.
+    """
+    none = F.array().cast("array<int>")
+
+    def inner(s, x):
+        return _with(step(s["last"], x).cast("int"), lambda v: F.struct(v.alias("last"), F.concat(s["out"], F.array(v)).alias("out")))
+
+    def outer(s, block):
+        done = F.aggregate(block, F.struct(s["last"].alias("last"), none.alias("out")), inner)
+        return _with(done, lambda d: F.struct(d["last"].alias("last"), F.concat(s["out"], F.array(d["out"])).alias("out")))
+
+    def run(x):
+        wide = F.ceil(F.sqrt(F.size(x))).cast("int")
+        blocks = F.transform(F.sequence(F.lit(1), F.size(x), wide), lambda i: F.slice(x, i, wide))
+        start = F.struct(F.lit(zero).alias("last"), F.array().cast("array<array<int>>").alias("out"))
+        return F.when(F.size(x) > 0, F.aggregate(blocks, start, outer, lambda s: F.flatten(s["out"]))).otherwise(none)
+
+    return _with(items, run)
 
 
 def find(text: Column, pattern: str, kind: int, group: int, least: int) -> Column:
-    """start, kind, stop (code points) of leftmost matches that don't overlap; those too short are dropped after matching."""
+    """start, kind, stop (code points), match of leftmost matches that don't overlap; those too short are dropped after matching."""
     all_, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    long_ = F.transform(all_ if not group else F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: F.length(m) >= least)
-    each = F.arrays_zip(pieces.alias("p"), all_.alias("m"), long_.alias("ok"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_EMPTY).alias("got"))
+    told = all_ if not group else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
-    def step(s, x):
-        begin = s["at"] + F.length(x["p"])
-        end = begin + F.coalesce(F.length(x["m"]), F.lit(0))
-        got = F.when(x["ok"], F.concat(s["got"], F.array(F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("stop"))))).otherwise(s["got"])
-        return F.struct(end.alias("at"), got.alias("got"))
+    def place(each):
+        stops = scanned(each, 0, lambda at, x: at + F.length(x["p"]) + F.coalesce(F.length(x["m"]), F.lit(0)))
+        kept = F.filter(F.arrays_zip(each.alias("x"), stops.alias("stop")), lambda y: F.length(y["x"]["told"]) >= least)
+        return F.transform(kept, lambda y: F.struct((y["stop"] - F.length(y["x"]["m"])).alias("start"), F.lit(kind).alias("kind"), y["stop"].alias("stop"), y["x"]["m"].alias("match")))
+
+    each = F.arrays_zip(pieces.alias("p"), all_.alias("m"), told.alias("told"))
+    return F.when(text.rlike(pattern), _with(each, place)).otherwise(F.array()).cast(f"array<{_SPAN}>")
+
+
+def apart(seen: Column, base: Column, kind: int) -> Column:
+    """The spans of seen (all of that kind, which base has none of) that meet no span of base: one sort, then a pass each way."""
 
-    return F.when(text.rlike(pattern), F.aggregate(each, start, step, lambda s: s["got"])).otherwise(F.array().cast(_EMPTY))
+    def split(every):
+        reach = scanned(every, 0, lambda s, e: F.when(e["kind"] == kind, s).otherwise(F.greatest(s, e["stop"])))
+        ahead = F.reverse(scanned(F.reverse(every), 2**31 - 1, lambda s, e: F.when(e["kind"] == kind, s).otherwise(e["start"])))
+        free = lambda y: (y["e"]["kind"] == kind) & (y["reach"] <= y["e"]["start"]) & (y["ahead"] >= y["e"]["stop"])
+        return F.transform(F.filter(F.arrays_zip(every.alias("e"), reach.alias("reach"), ahead.alias("ahead")), free), lambda y: y["e"])
+
+    return F.when((F.size(seen) == 0) | (F.size(base) == 0), seen).otherwise(_with(F.sort_array(F.concat(base, seen)), split))
 
 
 def _term(n: int) -> int:
@@ -56,11 +98,6 @@ def most_repetition(bits: float, window: int) -> int:
     return math.floor(UNIT * window * (math.log2(window) - bits))
 
 
-def _with(value: Column, use) -> Column:
-    """use(value), where value is worked out once however often use names it."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def least_sum(string: Column, window: int) -> Column:
     """The smallest sum of n log2 n (millionths) over character counts in any window, by incremental counts.
 
@@ -121,12 +158,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     """
     names = F.lit([*(k for k, *_ in KINDS), "entropy"])
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
-    rows = rows.withColumns({f"k{k}": find(F.col("t"), pattern, k, group, least) for k, (_, pattern, group, least) in enumerate(KINDS)} | {"seen": find(F.col("t"), CANDIDATE % window, len(KINDS), 0, window)})
-    rows = rows.withColumn("base", F.array_sort(F.concat(*[f"k{k}" for k in range(len(KINDS))])))
-    text, base = F.col("t"), F.col("base")
-    apart = F.filter("seen", lambda c: ~F.exists(base, lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
-    rows = rows.withColumn("apart", apart)
-    more = F.filter("apart", lambda c: suspicious(F.substring(text, c["start"] + 1, c["stop"] - c["start"]), window))
+    last = len(KINDS)
+    rows = rows.withColumns({f"k{k}": find(F.col("t"), LONG_ONLY.get(name, pattern), k, group, least) for k, (name, pattern, group, least) in enumerate(KINDS)} | {"seen": find(F.col("t"), CANDIDATE % window, last, 0, window)})
+    rows = rows.withColumn("base", F.sort_array(F.concat(*[f"k{k}" for k in range(last)]))).withColumn("apart", apart(F.col("seen"), F.col("base"), last))
+    base, more = F.col("base"), F.filter("apart", lambda c: suspicious(c["match"], window))
     say = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
     counts = [F.size(f"k{k}").cast("long").alias(f"n_{name}") for k, (name, *_) in enumerate(KINDS)]
-    return rows.select("doc_id", *counts, F.sha2(say(base), 256).alias("base_sha256"), say(F.array_sort(F.concat(base, more))).alias("spans"))
+    return rows.select("doc_id", *counts, F.sha2(say(base), 256).alias("base_sha256"), say(F.sort_array(F.concat(base, more))).alias("spans"))
