@@ -21,7 +21,8 @@ from veilframe.plans.profile import as_frame, profile
 from veilframe.plans.schema_check import problems
 from veilframe.scan import scan, scan_frame
 from veilframe.sources.detect import format_of, sha256_of
-from veilframe.sources.xlsx import Workbook, column_index, serial_to_date
+from veilframe.sources.book import serial_to_date
+from veilframe.sources.xlsx import Workbook, column_index
 from veilframe.sql import register
 from veilframe.streaming.profile import Moments, RunningProfile, windowed_counts
 
@@ -135,10 +136,9 @@ def test_tsv_empty_and_errors(spark, tmp_path):
     for bad in ("x.xyz", "x", "x.dta"):
         with pytest.raises(UnsupportedFormatError):
             format_of(bad)
-    with pytest.raises(UnsupportedFormatError):
-        scan(spark, write(tmp_path / "b.xls", "?"))
-    with pytest.raises(InvalidInputError):
-        scan(spark, write(tmp_path / "b.xlsx", "?"))
+    for bad in ("b.xls", "b.xlsb", "b.xlsx"):
+        with pytest.raises(InvalidInputError):
+            scan(spark, write(tmp_path / bad, "?"))
     assert sha256_of(write(tmp_path / "c", "test content")) == hashlib.sha256(b"test content").hexdigest()
 
 

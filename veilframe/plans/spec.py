@@ -185,9 +185,9 @@ def spec_scan(spark: SparkSession, path: str, options: Options | None = None, na
     options, kind = options or spec_options(), format_of(path)
     sheets = []
     if kind == "excel":
-        from ..sources.xlsx import Workbook, read_sheet
+        from ..sources.sheets import open_book, read_sheet
 
-        book = Workbook(path)
+        book = open_book(path)
         for i, (name, _) in enumerate(book.sheets):
             header, _ = book.shape(i)
             n = len(header)

@@ -8,7 +8,6 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .errors import UnsupportedFormatError
 from .functions.phi import NameLists
 from .operators.recode import sidekick
 from .options import Options
@@ -30,11 +29,9 @@ def scan(spark: SparkSession, path: str, options: Options = Options(), names: Na
     digest = sha256_of(path) if options.hash_file else None
     key, tables, sheets, file_name = None, [], [], Path(path).name
     if kind == "excel":
-        from .sources.xlsx import Workbook, read_sheet
+        from .sources.sheets import open_book, read_sheet
 
-        if Path(path).suffix.lower() in (".xls", ".xlsb"):
-            raise UnsupportedFormatError("Binary workbooks (.xls, .xlsb) can't be read; save as .xlsx")
-        book = Workbook(path)
+        book = open_book(path)
         for i, (name, _) in enumerate(book.sheets):
             header, _ = book.shape(i)
             table = TableProfile(0, [])

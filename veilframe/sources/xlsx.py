@@ -1,43 +1,25 @@
-"""Workbooks (.xlsx, .xlsm) as a Python data source: one partition a sheet, rows streamed from its XML.
-
-Format name: veil_xlsx. Options: path, sheet (index from 0). Columns: c0, c1 ... (text) and
-n0, n1 ... (the numbers of number and date cells). The first used row is the header.
-"""
+"""Workbooks of XML parts (.xlsx, .xlsm); rows are streamed."""
 
 from __future__ import annotations
 
 import re
 import zipfile
 from collections.abc import Iterator
-from datetime import date, timedelta
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
 from ..errors import InvalidInputError
-
-EPOCH = date(1899, 12, 30)
-_DATE_IDS = {*range(14, 23), *range(45, 48)}
-
-
-def serial_to_date(serial: float) -> str:
-    """Whole days since the epoch of workbooks; the time of day is dropped. A serial beyond the calendar stays a number."""
-    try:
-        return (EPOCH + timedelta(days=int(serial))).isoformat()
-    except (OverflowError, ValueError):
-        return number_text(serial)
-
-
-def number_text(x: float) -> str:
-    """Whole numbers without a point."""
-    return str(int(x)) if x == int(x) and abs(x) < 1e16 else repr(x)
+from .book import DATE_FORMATS, Book, Cell, shows_date
 
 
 def _local(tag: str) -> str:
     return tag.rpartition("}")[2]
 
 
+def part_name(target: str) -> str:
+    """The name in the archive of what a relationship of the workbook points to."""
+    return target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+
+
 def column_index(ref: str) -> int:
     n = 0
     for c in re.match(r"[A-Z]+", ref)[0]:
@@ -45,7 +27,7 @@ def column_index(ref: str) -> int:
     return n - 1
 
 
-class Workbook:
+class Workbook(Book):
     def __init__(self, path: str):
         if not zipfile.is_zipfile(path):
             raise InvalidInputError(f"{path} is no .xlsx or .xlsm workbook")
@@ -54,8 +36,7 @@ class Workbook:
         book = self._tree("xl/workbook.xml")
         self.sheets = []
         for s in (x for x in book.iter() if _local(x.tag) == "sheet"):
-            target = rels[next(v for k, v in s.attrib.items() if _local(k) == "id")]
-            self.sheets.append((s.get("name"), target.lstrip("/") if target.startswith("/") else f"xl/{target}"))
+            self.sheets.append((s.get("name"), part_name(rels[next(v for k, v in s.attrib.items() if _local(k) == "id")])))
         self.strings = self._strings() if "xl/sharedStrings.xml" in self.zip.namelist() else []
         self.dates = self._dates() if "xl/styles.xml" in self.zip.namelist() else set()
 
@@ -66,13 +47,12 @@ class Workbook:
         return ["".join(t.text or "" for t in item.iter() if _local(t.tag) == "t") for item in self._tree("xl/sharedStrings.xml")]
 
     def _dates(self) -> set[int]:
-        """Style numbers that show a number as a date."""
         root = self._tree("xl/styles.xml")
-        own = {int(x.get("numFmtId")) for x in root.iter() if _local(x.tag) == "numFmt" and re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\[[^\]]*\]|\\.', "", x.get("formatCode", "").lower()))}
+        own = {int(x.get("numFmtId")) for x in root.iter() if _local(x.tag) == "numFmt" and shows_date(x.get("formatCode", ""))}
         xfs = next((x for x in root.iter() if _local(x.tag) == "cellXfs"), [])
-        return {i for i, xf in enumerate(xfs) if int(xf.get("numFmtId", 0)) in _DATE_IDS | own}
+        return {i for i, xf in enumerate(xfs) if int(xf.get("numFmtId", 0)) in DATE_FORMATS | own}
 
-    def _cell(self, c) -> tuple[str, float | None]:
+    def _cell(self, c) -> Cell:
         kind, value = c.get("t", "n"), next((x.text or "" for x in c if _local(x.tag) == "v"), None)
         if kind == "inlineStr":
             return "".join(t.text or "" for t in c.iter() if _local(t.tag) == "t"), None
@@ -86,72 +66,19 @@ class Workbook:
             return value, None
         if kind == "e":
             return value if value.startswith("#") else f"#{value}", None
-        x = float(value)
-        return (serial_to_date(x) if int(c.get("s", 0)) in self.dates else number_text(x)), x
+        return self.number(float(value), int(c.get("s", 0)))
 
-    def rows(self, index: int) -> Iterator[dict[int, tuple[str, float | None]]]:
-        """Cells by column, row by row; rows that the file leaves out between others are empty."""
-        last = None
+    def numbered_rows(self, index: int) -> Iterator[tuple[int, dict[int, Cell]]]:
         with self.zip.open(self.sheets[index][1]) as file:
             for _, node in ElementTree.iterparse(file):
                 if _local(node.tag) != "row":
                     continue
-                number, cells, at = int(node.get("r", 0)), {}, 0
+                cells, at = {}, 0
                 for c in node:
                     at = column_index(c.get("r")) if c.get("r") else at
                     if (got := self._cell(c)) != ("", None):
                         cells[at] = got
                     at += 1
+                number = int(node.get("r", 0))
                 node.clear()
-                if last is None and not cells:
-                    continue
-                for _ in range(number - last - 1 if last is not None and number else 0):
-                    yield {}
-                last = number
-                yield cells
-
-    def shape(self, index: int) -> tuple[list[str], int]:
-        """Header and first used column of a sheet."""
-        low, high, head = None, -1, None
-        for cells in self.rows(index):
-            head = cells if head is None else head
-            for k in cells:
-                low, high = k if low is None else min(low, k), max(high, k)
-        if head is None or low is None:
-            return [], 0
-        return [head.get(k, ("", None))[0] for k in range(low, high + 1)], low
-
-
-class XlsxReader(DataSourceReader):
-    def __init__(self, path: str, sheet: int):
-        self.path, self.sheet = path, sheet
-
-    def partitions(self):
-        return [InputPartition(self.sheet)]
-
-    def read(self, partition):
-        book = Workbook(self.path)
-        header, low = book.shape(partition.value)
-        rows = book.rows(partition.value)
-        next(rows, None)
-        for cells in rows:
-            each = [cells.get(low + k, ("", None)) for k in range(len(header))]
-            yield (*(t for t, _ in each), *(x for _, x in each))
-
-
-class XlsxSource(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "veil_xlsx"
-
-    def schema(self) -> str:
-        n = len(Workbook(self.options["path"]).shape(int(self.options.get("sheet", 0)))[0])
-        return ", ".join([*(f"c{i} string" for i in range(n)), *(f"n{i} double" for i in range(n))])
-
-    def reader(self, schema) -> DataSourceReader:
-        return XlsxReader(self.options["path"], int(self.options.get("sheet", 0)))
-
-
-def read_sheet(spark: SparkSession, path: str, sheet: int) -> DataFrame:
-    spark.dataSource.register(XlsxSource)
-    return spark.read.format("veil_xlsx").option("path", path).option("sheet", sheet).load()
+                yield number, cells
