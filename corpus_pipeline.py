@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import decontam, langid, mixing, sharding, simhash
+from veilframe.llm import decontam, jaccard, langid, mixing, sharding
 from veilframe.llm.common import table, written
 
 
@@ -17,8 +17,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each SimHash component."""
-    return simhash.keep_one(docs)
+    """Keeps the document with the smallest id of each component of texts that share four fifths of their five-word shingles."""
+    return jaccard.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,20 +40,25 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _LOW_BITS = 0x5555555555555555
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
-    """The SimHash of lower-cased words, unsigned; no words: 0."""
+def shingle_hashes(text: bytes | None, shingle: int) -> list[int]:
+    """The hash of each run of so many lower-cased words, repeated ones too; fewer words are one shingle, no words none."""
     words = (text or b"").translate(_LOWER).split()
     if not words:
-        return 0
+        return []
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), HASH_SEED)]
-        n, ones = 1, None
-    else:
-        joined = b" ".join(words)
-        ends = list(accumulate(map(len, words), lambda a, n: a + 1 + n))
-        starts = [0, *(e + 1 for e in ends)]
-        digest, n, ones = xxhash.xxh64_intdigest, len(words) - shingle + 1, None
-        hashes = [digest(joined[a:b], HASH_SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)]
+        return [digest(joined, HASH_SEED)]
+    ends = list(accumulate(map(len, words), lambda a, n: a + 1 + n))
+    starts = [0, *(e + 1 for e in ends)]
+    return [digest(joined[a:b], HASH_SEED) for a, b in zip(starts, ends[shingle - 1 :], strict=False)]
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
+    """The SimHash of lower-cased words, unsigned; no words: 0."""
+    hashes, ones = shingle_hashes(text, shingle), None
+    n = len(hashes)
+    if not n:
+        return 0
     for k in range(0, n, PIECE):
         part = np.array(hashes[k : k + PIECE], np.uint64).view(np.uint8).reshape(-1, 8)
         bits = np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
