@@ -20,8 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, written
-from .hosts import LOWER, UPPER
+from .common import written
 
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -45,40 +44,60 @@ TEMPLATES = {
 LINES = 4
 SHARE = 0.8
 
-_IN, _OUT = WORD[:-1], r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-
-
-def phrase_pattern(phrases) -> str:
-    """Words of a phrase with no other words between, and none that goes on before or after."""
-    each = "|".join(rf"{_OUT}+".join(p.split(" ")) for p in sorted(phrases, key=lambda p: (-len(p), p)))
-    return rf"(?<!{_IN})(?i:{each})(?!{_IN})"
+#: What parts words. Texts are not lower-cased as a whole: letters other than A-Z must stay.
+_OUT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+_OUT_CHARS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
+#: Private letters: one stands for the end of a line, the other for what a text has of the first, and for the Kelvin sign, whose lower case is a k.
+_LINE, _OTHER, _KELVIN = "\ue000", "\ue001", "\u212a"
 
 
 def least_overlap(n: int, share: float) -> int:
     return math.ceil(share * n - 1e-9)
 
 
+def places_of(words: Column, phrases) -> Column:
+    """start (from 0) and phrase of every place where the words of a phrase stand consecutively; words: in lower case, ascending starts."""
+    own = [p.split(" ") for p in phrases]
+    begins = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.element_at(words, i).isin(*sorted({p[0] for p in own})))
+
+    def at(i):
+        found = []
+        for p in own:
+            fits = F.lit(True)
+            for k, w in enumerate(p):
+                fits = fits & (F.try_element_at(words, i + k) == w)
+            found.append(F.when(fits, F.struct((i - 1).cast("long").alias("start"), F.lit(" ".join(p)).alias("phrase"))))
+        return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+    return F.flatten(F.transform(begins, at))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, lines: int = LINES, share: float = SHARE) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row.
 
-    No phrase may begin with a word that another ends with. score is 1 with a phrase,
-    else the largest share of a template that a matching block has, else 0. A null text has no words;
-    repeated rows each get a row; no rows give no rows.
+    score is 1 with a phrase, else the largest share of a template that a matching block has,
+    else 0. A null text has no words; repeated rows each get a row; no rows give no rows.
+
+    Each text is split into words once, with a mark for each line end. Only words of templates and
+    phrases go on from there; texts in which these leave a phrase possible are looked at for its places.
     """
-    vocab = sorted({w for t in templates for w in t.split()})
-    pattern, text = phrase_pattern(phrases), F.coalesce(F.col("t"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("t")).withColumn("t", text)
-    rows = rows.withColumn("found", F.regexp_extract_all("t", F.lit(pattern), F.lit(0)))
-    some, count = F.size("found") > 0, lambda c: F.regexp_count(c, F.lit(WORD)).cast("long")
-    pieces = F.split("t", pattern, -1)
-    name = F.create_map(*[F.lit(x) for kv in phrases.items() for x in kv])
-    labels = F.transform("found", lambda h: F.element_at(name, F.translate(F.regexp_replace(h, f"{_OUT}+", " "), UPPER, LOWER)))
-    words = F.transform(F.split("t", "\n"), lambda s: F.array_intersect(F.regexp_extract_all(F.lower(s), F.lit(WORD), F.lit(0)), F.lit(vocab)))
+    vocab = sorted({w for t in [*templates, *phrases] for w in t.split()})
+    text = F.replace(F.replace(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(_KELVIN), F.lit(_OTHER)), F.lit(_LINE), F.lit(_OTHER))
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.btrim(text, F.lit(_OUT_CHARS)).alias("t"))
+    rows = rows.withColumn("w", F.split(F.replace("t", F.lit("\n"), F.lit(f" {_LINE} ")), f"{_OUT}+", -1))
+    rows = rows.select("doc_id", "t", F.size("w").alias("size"), F.transform(F.filter("w", lambda x: F.lower(x).isin(_LINE, *vocab)), F.lower).alias("known"))
+    rows = rows.select("doc_id", "t", "size", F.array_join("known", " ").alias("known"), (F.size("known") - F.size(F.array_remove("known", _LINE))).alias("ends"), F.array_join(F.array_remove("known", _LINE), " ").alias("run"))
+    possible = F.lit(False)
+    for p in phrases:
+        possible = possible | F.contains(F.concat(F.lit(" "), "run", F.lit(" ")), F.lit(f" {p} "))
+    hits = F.when(possible, places_of(F.col("v"), phrases)).otherwise(F.array().cast("array<struct<start:long,phrase:string>>"))
+    rows = rows.withColumn("v", F.when(possible, F.transform(F.split("t", f"{_OUT}+", -1), F.lower))).withColumn("hits", hits)
+    name, starts = F.create_map(*[F.lit(x) for kv in phrases.items() for x in kv]), F.col("hits.start")
+    words = F.transform(F.split("known", _LINE), lambda s: F.array_distinct(F.filter(F.split(s, " "), lambda x: x != "")))
     small = rows.select(
-        F.monotonically_increasing_id().alias("rid"), "doc_id", count("t").alias("n_words"), F.size("found").cast("long").alias("n_base"),
-        F.when(some, count(F.element_at(pieces, 1))).alias("first_word"),
-        F.when(some, count("t") - count(F.element_at(pieces, -1)) - count(F.element_at("found", -1))).alias("last_word"),
-        F.when(some, F.array_sort(F.array_distinct(labels))).otherwise(F.array().cast("array<string>")).alias("base"), words.alias("lines"),
+        F.monotonically_increasing_id().alias("rid"), "doc_id", F.when(F.col("t") == "", 0).otherwise(F.col("size") - F.col("ends")).cast("long").alias("n_words"), F.size("hits").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_sort(F.array_distinct(F.transform("hits.phrase", lambda p: F.element_at(name, p)))).alias("base"), F.when(F.col("run") != "", words).otherwise(F.array().cast("array<array<string>>")).alias("lines"),
     )
     small = written(small, "license-words")
     freq = {w: 0 for w in vocab}
