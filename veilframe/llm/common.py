@@ -11,24 +11,43 @@ import pyarrow.compute as pc
 from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 """Words before A-Z are lower-cased; after that the class is [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]."""
 
 
+LEAST = -(1 << 63)
+"""The smallest long."""
+SEED = 11
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; unset, as in tests, a local one is set."""
+    """A folder of this application in the one that spark.checkpoint.dir names; it is deleted when the application ends.
+
+    Unset, a temporary folder is set if Spark runs in this process alone, as in tests. On a cluster that is an error,
+    as executors wouldn't share it.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "veilframe-checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    own = f"{found.rstrip('/')}/veilframe-{spark.sparkContext.applicationId}"
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(own)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        store.mkdirs(path)
+        store.deleteOnExit(path)
+    return own
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -45,6 +64,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """mapInArrow for columns of any name; it can't resolve names with dots itself."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(run, schema)
+
+
 def share(spark: SparkSession, value) -> Broadcast:
     """Broadcasts a value of this package's own classes, with the classes; taken() reads it in a task."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
@@ -58,31 +82,93 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def bounds_of(df: DataFrame, col: str, parts: int) -> list[int]:
-    """At most parts ascending values of an integer column that cut its rows into about equal ranges.
+class Cuts:
+    """Ascending pairs (id, tie) that cut the rows of a table into ranges of about equal size. Null ids come first.
 
-    One scan of that column; the driver gets as many numbers as there are partitions.
+    ids may be of any type that can be ordered. tie is a long that tells rows of one id apart, so
+    that neither an id with many rows nor rows without one make a range of their own.
     """
-    if parts < 2:
-        return []
-    cuts = [i / parts for i in range(1, parts)]
-    row = df.agg(F.percentile_approx(col, cuts, max(10_000, 20 * parts)).alias("q")).first()
-    return sorted(set(row["q"] or []))
-
-
-def bucket_of(value: Column, bounds: list[int]) -> Column:
-    """How many of the ascending bounds are at or below value (null: 0).
 
-    Two levels, so a row compares with about twice the square root of their number.
+    def __init__(self, pairs: list[tuple], kind: T.DataType):
+        self.pairs, self.kind = pairs, kind
+
+    @classmethod
+    def of(cls, df: DataFrame, id_: Column, tie: Column, parts: int) -> Cuts:
+        """At most parts - 1 pairs that rows of df have, from a random sample of about 20 a range (2,000 at least).
+
+        The ids alone are read, unless one of them spans a cut.
+        """
+        kind, n = df.select(id_).schema[0].dataType, df.count() if parts > 1 else 0
+        if not n:
+            return cls([], kind)
+        share = min(1.0, max(2_000, 20 * parts) / n)
+        some = df if share == 1.0 else df.where(F.rand(SEED) < share)
+
+        def picked(*cols):
+            rows = sorted((r[0] is not None, *r) for r in some.select(*cols).collect())
+            return [rows[k * len(rows) // parts][1:] for k in range(1, parts)] if rows else []
+
+        found = [(i, LEAST) for i, in picked(id_)]
+        if len(set(found)) < len(found):
+            found = picked(id_, tie)
+        return cls(list(dict.fromkeys(found)), kind)
+
+    def __len__(self) -> int:
+        return len(self.pairs)
+
+    def _listed(self, pairs: list[tuple]) -> Column:
+        return F.array(*[F.struct(F.lit(i).cast(self.kind).alias("i"), F.lit(t).cast("long").alias("t")) for i, t in pairs])
+
+    def below(self, id_: Column, tie: Column) -> Column:
+        """How many pairs are at or below that of a row. Two levels, so it is compared with about twice the square root of their number."""
+        if not self.pairs:
+            return F.lit(0)
+
+        def passed(p):
+            return F.coalesce(p["i"] < id_, p["i"].isNull() & id_.isNotNull()) | p["i"].eqNullSafe(id_) & (p["t"] <= tie)
+
+        step = max(1, int(len(self.pairs) ** 0.5))
+        start = F.greatest((F.size(F.filter(self._listed(self.pairs[::step]), passed)) - 1) * step, F.lit(0))
+        return (start + F.size(F.filter(F.slice(self._listed(self.pairs), start + 1, step), passed))).cast("int")
+
+    def begins(self, id_: Column, tie: Column) -> Column:
+        """Whether a row has the pair of a cut, or may have it."""
+        if not self.pairs:
+            return F.lit(False)
+        whole = [i for i, t in self.pairs if t == LEAST]
+        parted = [p for p in self.pairs if p[1] != LEAST]
+        out = F.lit(False)
+        if whole:
+            some = [i for i in whole if i is not None]
+            out = F.coalesce(id_.isin(some), F.lit(False)) if some else F.lit(False)
+            if len(some) < len(whole):
+                out = out | id_.isNull()
+        if parted:
+            out = out | F.exists(self._listed(parted), lambda p: p["i"].eqNullSafe(id_) & (p["t"] == tie))
+        return out
+
+
+def join_split(rows: DataFrame, by: str, table: DataFrame, key: str, n: str, many: int) -> DataFrame:
+    """rows with the columns of table (a row for each key, with the number n of its rows) where by is key, nulls too.
+
+    Keys of more than `many` rows are broadcast; there are no more of these than `many` goes into the number of
+    rows, and the caller chooses it so that this is a bounded number. Other rows, whose keys are evenly spread, meet by a shuffle.
     """
-    if not bounds:
-        return F.lit(0)
-    step = max(1, int(len(bounds) ** 0.5))
-    heads, all_ = F.lit(bounds[::step]), F.lit(bounds)
-    below = F.size(F.filter(heads, lambda b: b <= value))
-    start = F.greatest((below - 1) * step, F.lit(0))
-    inner = F.size(F.filter(F.slice(all_, start + 1, step), lambda b: b <= value))
-    return F.coalesce(F.when(value.isNull(), 0).otherwise(start + inner), F.lit(0)).cast("int")
+    slim = table.select(F.col(key).alias("__key"), F.col(n).alias("__n"), *[c for c in table.columns if c not in (key, n)])
+    head = F.broadcast(slim.where(F.col("__n") > many))
+    rest = rows.join(head.select("__key"), rows[by].eqNullSafe(F.col("__key")), "left_anti")
+    both = [left.join(right, left[by].eqNullSafe(right["__key"])) for left, right in ((rows, head), (rest, slim))]
+    return both[0].unionByName(both[1]).drop("__key", "__n")
+
+
+def join_counted(rows: DataFrame, by: str, table: DataFrame, key: str, n: str, most: int) -> DataFrame:
+    """As join_split, in one pass over rows if the table has up to `most` keys: these are broadcast then."""
+    few = table.limit(most + 1).collect()
+    if len(few) <= most:
+        cols = [c for c in table.columns if c not in (key, n)]
+        head = rows.sparkSession.createDataFrame(few, table.schema).select(F.col(key).alias("__key"), *cols)
+        return rows.join(F.broadcast(head), rows[by].eqNullSafe(F.col("__key"))).drop("__key")
+    return join_split(rows, by, table, key, n, (table.agg(F.sum(n)).first()[0] or 0) // most)
 
 
 def free_name(taken: list[str], name: str) -> str:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounds_of, bucket_of, shuffle_partitions
+from .common import LEAST, Cuts, shuffle_partitions
 
 PARAGRAPH = 200
 CELLS = 12
@@ -179,23 +179,24 @@ def compare(texts: list[str]) -> list[tuple]:
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
-    The next document is that with the next larger id; ids that are null come
+    The next document is that with the next larger id; ids (of any type that can be ordered) that are null come
     first, equal ones order by a hash of the text, and after the last comes the first (a
     single document follows itself). A null text counts as an empty one. No rows give no rows.
 
-    Texts are shuffled once, into ranges of ids. A document that begins a range is also
-    sent to the range before, so each task has all the neighbours it needs.
+    Texts are shuffled once, into ranges of ids, of which one with many rows is cut by the hash of the text. A
+    document that begins a range is also sent to the range before, so each task has all the neighbours it needs.
     """
     spark = docs.sparkSession
     few = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    bounds = bounds_of(few, "doc_id", shuffle_partitions(spark))
+    id_, tie = F.col("doc_id"), F.xxhash64("text")
     ends = few.agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("ids")).first()
-    if bounds and bounds[0] == ends["low"]:
-        bounds = bounds[1:]
-    part, last = bucket_of(F.col("doc_id"), bounds), len(bounds)
-    is_first = F.col("doc_id").isNull() if ends["ids"] < ends["n"] else F.coalesce(F.col("doc_id") == F.lit(ends["low"]), F.lit(False))
-    starts = F.coalesce(F.col("doc_id").isin(bounds), F.lit(False)) if bounds else F.lit(False)
-    to = F.filter(F.array(F.struct(part.alias("to"), F.lit(0).alias("ahead")), F.when(starts, F.struct((part - 1).alias("to"), F.lit(1).alias("ahead"))), F.when(is_first, F.struct(F.lit(last).alias("to"), F.lit(1).alias("ahead")))), lambda x: x.isNotNull())
+    low = None if ends["ids"] < ends["n"] else ends["low"]
+    first = id_.eqNullSafe(F.lit(low).cast(docs.schema[id_col].dataType))
+    least = few.where(first).agg(F.min(tie)).first()[0] if ends["n"] else None
+    cuts = Cuts.of(few, id_, tie, shuffle_partitions(spark))
+    cuts.pairs = [p for p in cuts.pairs if p != (low, LEAST) and p != (low, least)]  # nothing is below those
+    part, last = cuts.below(id_, tie), len(cuts)
+    to = F.filter(F.array(F.struct(part.alias("to"), F.lit(0).alias("ahead")), F.when(cuts.begins(id_, tie), F.struct((part - 1).alias("to"), F.lit(1).alias("ahead"))), F.when(first & (tie == F.lit(least)), F.struct(F.lit(last).alias("to"), F.lit(1).alias("ahead")))), lambda x: x.isNotNull())
     sent = few.withColumn("x", F.explode(to)).select("doc_id", "text", "x.to", "x.ahead")
     ranged = sent.repartitionById(last + 1, F.col("to")).sortWithinPartitions("ahead", F.asc_nulls_first("doc_id"), F.xxhash64("text")).select("doc_id", "text", "ahead")
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_chars", T.LongType()), *[T.StructField(c, T.StringType()) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")], T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
