@@ -16,10 +16,11 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,16 +36,25 @@ MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
+def urn(page_id) -> str:
+    """A record's id. What could end a header line is escaped; no id differs from an empty one."""
+    return "<urn:page>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
+
+
+def page_of(header: str | None) -> str | None:
+    return unquote(header[10:-1]) if header and header.startswith("<urn:page:") and header.endswith(">") else None
+
+
 def record(page_id, url: str | None, payload: bytes, digest: str, refers_to=None, date: str = DATE) -> bytes:
     """One gzip member: a response, or with refers_to a revisit, whose block keeps the HTTP head but no payload."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
     target = "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in url or "")
-    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {date}"]
+    head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {urn(page_id)}", f"WARC-Date: {date}"]
     if target:
         head.append(f"WARC-Target-URI: {target}")
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: {urn(refers_to)}", f"WARC-Profile: {PROFILE}"]
     head += [f"WARC-Payload-Digest: sha256:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
     return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
@@ -106,12 +116,17 @@ def member(view: View) -> tuple[bytes, int] | None:
 
 def records(file, size: int, start: int, end: int, step: int = READ_BYTES) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """Offset, headers and block of the records that start in [start, end)."""
+    return ((at, head, block) for at, _, head, block in members(file, size, start, end, step))
+
+
+def members(file, size: int, start: int, end: int, step: int = READ_BYTES) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """Offset, compressed length, headers and block of the records that start in [start, end)."""
     view = View(file, size, start, step)
     while view.at < end:
         if view.held() < len(MAGIC) and not view.more() and not view.held():
             return
         if view.data.startswith(MAGIC, view.pos) and (got := member(view)) and (good := parse(got[0])):
-            yield view.at, *good
+            yield view.at, got[1], *good
             view.drop(got[1])
             continue
         k = view.data.find(MAGIC, view.pos + 1) - view.pos
@@ -124,8 +139,8 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
 
 
-def write(pages: DataFrame, folder: str, least: int = LEAST, file_bytes: int = FILE_BYTES) -> list[tuple[str, int]]:
-    """Writes a record for each row of pages (page_id, url, html); the files' paths and sizes.
+def write(pages: DataFrame, folder: str, least: int = LEAST, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes a record for each row of pages (page_id, url, html); path and size of the files, a table of its own.
 
     Of equal payloads of at least `least` bytes, rows with the smallest id are
     responses and others revisit it (rows without an id too, if any has one); what is shorter or
@@ -133,14 +148,15 @@ def write(pages: DataFrame, folder: str, least: int = LEAST, file_bytes: int = F
 
     Payloads are shuffled once, by page. What decides the kinds is (id, digest) only.
     Each attempt of a task writes files of its own name, and only those of the attempt
-    that counted are in the result: a few dozen bytes for each file.
+    that counted are in the result.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    key = F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.sha2(payload, 256))
+    ident = F.coalesce(F.concat(F.lit("="), F.col("page_id").cast("string")), F.lit("none"))
+    key = F.concat(ident, F.lit(":"), F.sha2(payload, 256))
     shared = written(pages.where(F.octet_length(payload) >= least).select("page_id", F.unhex(F.sha2(payload, 256)).alias("d")), "warc-digests")
     first = shared.groupBy("d").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
     later = shared.join(first, "d").where("page_id is null or page_id > first")
-    later = later.select(F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(":"), F.lower(F.hex("d"))).alias("page_key"), "first").distinct()
+    later = later.select(F.concat(ident, F.lit(":"), F.lower(F.hex("d"))).alias("page_key"), "first").distinct()
     rows = pages.select("page_id", "url", payload.alias("payload"), key.alias("page_key"))
     rows = rows.join(later, "page_key", "left").select("page_id", "url", "payload", F.col("first").alias("refers_to"))
 
@@ -166,20 +182,22 @@ def write(pages: DataFrame, folder: str, least: int = LEAST, file_bytes: int = F
             done.append((name, size))
         yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in done], pa.string()), pa.array([s for _, s in done], pa.int64())], names=["path", "size"])
 
-    return sorted((r["path"], r["size"]) for r in rows.mapInArrow(run, "path string, size long").collect())
+    return written(rows.mapInArrow(run, "path string, size long"), "warc-files")
 
 
-def read(spark, folder: str, files: list[tuple[str, int]], split_bytes: int = SPLIT_BYTES, id_type: T.DataType | None = None) -> DataFrame:
-    """page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload (null for a revisit), path, offset of every record.
+def read(spark, folder: str, files: DataFrame, split_bytes: int = SPLIT_BYTES, id_type: T.DataType | None = None) -> DataFrame:
+    """page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload (null for a revisit), path, offset, length of every record.
 
-    files: paths as the store of folder has them, with sizes. The last record of a range may end in the next. Bytes between records are passed over.
+    files: path, as the store of folder has it, and size. The last record of a range may end in the next. length is that
+    of the compressed member; gaps() tells which bytes are in none, as those of a damaged record.
     """
-    parts = [(p, n, a, min(a + split_bytes, n)) for p, n in files for a in range(0, n, split_bytes)]
-    todo = spark.createDataFrame(parts, "path string, size long, start long, stop long")
-    if parts:
-        todo = todo.repartitionById(min(len(parts), max(shuffle_partitions(spark), -(-len(parts) // 16))), F.pmod(F.xxhash64("path", "start"), F.lit(1 << 30)).cast("int"))
-    schema = "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary, path string, offset long"
-    kinds = [("page_id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("path", pa.string()), ("offset", pa.int64())]
+    count = files.agg(F.sum(F.ceil(F.col("size") / split_bytes))).first()[0] or 0
+    todo = files.where("size > 0").select("path", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
+    todo = todo.withColumn("stop", F.least(F.col("start") + split_bytes, "size"))
+    if count:
+        todo = todo.repartitionById(min(count, max(shuffle_partitions(spark), -(-count // 16))), F.pmod(F.xxhash64("path", "start"), F.lit(1 << 30)).cast("int"))
+    schema = "page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary, path string, offset long, length long"
+    kinds = [("page_id", pa.string()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("path", pa.string()), ("offset", pa.int64()), ("length", pa.int64())]
 
     def run(batches):
         store, _ = _store(folder)
@@ -187,14 +205,14 @@ def read(spark, folder: str, files: list[tuple[str, int]], split_bytes: int = SP
             for path, size, start, stop in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows, held = [], 0
                 with store.open_input_file(path) as file:
-                    for offset, head, block in records(file, size, start, stop):
+                    for offset, own, head, block in members(file, size, start, stop):
                         http, _, body = block.partition(b"\r\n\r\n")
                         length = next((int(v) for n, _, v in (x.partition(b":") for x in http.split(b"\r\n")) if n.lower() == b"content-length"), len(body))
                         kind = head.get("warc-type", "")
-                        page, ref = (head[h][10:-1] if h in head else None for h in ("warc-record-id", "warc-refers-to"))
+                        page, ref = (page_of(head.get(h)) for h in ("warc-record-id", "warc-refers-to"))
                         whole = kind == "response"
                         digest = hashlib.sha256(body).hexdigest() if whole else head.get("warc-payload-digest", "").removeprefix("sha256:")
-                        rows.append((page or None, head.get("warc-target-uri"), kind, ref, len(body) if whole else length, digest, body if whole else None, path, offset))
+                        rows.append((page, head.get("warc-target-uri"), kind, ref, len(body) if whole else length, digest, body if whole else None, path, offset, own))
                         held += len(block)
                         if held > 8 << 20:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
@@ -207,6 +225,17 @@ def read(spark, folder: str, files: list[tuple[str, int]], split_bytes: int = SP
     return got.withColumns({"page_id": F.col("page_id").cast(kind), "refers_to": F.col("refers_to").cast(kind)})
 
 
+def gaps(found: DataFrame, files: DataFrame) -> DataFrame:
+    """path, start, bytes of the stretches of the files that read() found no record in: damaged, cut off or foreign members.
+
+    A file's records are ordered in one task, a few dozen bytes each.
+    """
+    ends = files.select("path", F.col("size").alias("offset"), F.lit(0).cast("long").alias("length"))
+    after = F.lag(F.col("offset") + F.col("length"), 1, 0).over(Window.partitionBy("path").orderBy("offset", "length"))
+    each = found.select("path", "offset", "length").unionByName(ends).withColumn("start", after)
+    return each.where("offset > start").select("path", "start", (F.col("offset") - F.col("start")).alias("bytes"))
+
+
 def round_trip(pages: DataFrame, split_bytes: int = SPLIT_BYTES, least: int = LEAST) -> DataFrame:
     """Writes pages to new archives in the shared folder and returns what the splittable reader finds in them.
 
