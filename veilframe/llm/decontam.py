@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, free_name, groups_of_rows, share, taken
+from .common import as_bytes, free_name, groups_of_rows, map_arrow, share, taken
 
 WINDOW = 13
 SHARE = 20
@@ -238,17 +238,28 @@ def merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int):
-    """Benchmark rows in blocks of bounded size, one at a time."""
+def _pieces(text: bytes, window: int, most: int):
+    """A text in pieces of about most bytes that share window - 1 words, so that each of its windows is in one of them."""
+    if len(text) <= most:
+        yield text
+        return
+    words = words_of(text)
+    step = max(1, most * len(words) // len(text))
+    for i in range(0, max(1, len(words) - window + 1), step):
+        yield b" ".join(words[i : i + step + window - 1])
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int, window: int):
+    """Benchmark rows in blocks of bounded size, one at a time; a longer item is spread over several."""
     block, size = [], 0
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = benchmark.select(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")).alias("i"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
     for i, t in rows.toLocalIterator():
-        data = t.encode()
-        if block and size + len(data) > block_bytes:
-            yield block
-            block, size = [], 0
-        block.append((i, data))
-        size += len(data)
+        for data in _pieces(t.encode(), window, block_bytes):
+            if block and size + len(data) > block_bytes:
+                yield block
+                block, size = [], 0
+            block.append((i, data))
+            size += len(data)
     yield block
 
 
@@ -256,7 +267,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
     """docs with four more columns, named by the second result: words (long), spans (array of word
     ranges), hits (long) and items (array of strings).
 
-    A benchmark beyond block_bytes is searched block by block, each a pass over docs. A null text
+    A benchmark beyond block_bytes is searched block by block, each a further step of the same tasks. A null text
     has no words; a null item id reads "null"; repeated rows each get a row; columns of docs keep
     their names, whatever these are. No rows give no rows; an empty benchmark hits nothing.
     """
@@ -264,7 +275,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
     fields = [T.StructField(names["words"], T.LongType()), T.StructField(names["spans"], T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField(names["hits"], T.LongType()), T.StructField(names["items"], T.ArrayType(T.StringType()))]
     schema = T.StructType([*docs.schema.fields, *fields])
     at, width, out = docs.columns.index(text_col), len(docs.columns), docs
-    for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes)):
+    for k, block in enumerate(_blocks(benchmark, item_col, item_text_col, block_bytes, window)):
         shared = share(docs.sparkSession, Phrases(block, window))
 
         def scan(batches, shared=shared, first=k == 0):
@@ -281,7 +292,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item
                     more = [pa.array(n_words[rows], pa.int64()), pa.array([[{"start": s, "end": e} for s, e in v] for v in spans[rows]], _SPANS), pa.array([sum(e - s for s, e in v) for v in spans[rows]], pa.int64()), pa.array([sorted(v) for v in items[rows]], pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays([*b.columns[:width], *more], names=[f.name for f in schema.fields])
 
-        out = out.mapInArrow(scan, schema)
+        out = map_arrow(out, scan, schema)
     return out, names
 
 
@@ -293,7 +304,7 @@ def contaminated(names: dict[str, str], share: int = SHARE):
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans: one row for each document."""
-    few = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    few = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     out, names = annotate(few, benchmark, window=window)
     sha = F.sha2(F.concat_ws(",", names["items"]), 256)
     return out.select("doc_id", F.col(names["words"]).alias("n_words"), F.col(names["hits"]).alias("n_hit"), F.size(names["items"]).cast("long").alias("n_items"), sha.alias("items_sha256"), contaminated(names, share).alias("contaminated"), F.transform(names["spans"], lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))).alias("spans"))
