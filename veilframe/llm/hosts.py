@@ -12,17 +12,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_counted, written
 
 #: The rules of the list, as (verdict, rule).
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
-#: Two-label public suffixes under which a registered domain has three labels.
-SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "or.jp", "com.br", "com.cn", "com.mx", "co.in", "co.kr", "co.nz", "co.za")
+#: Second labels which, before a country's two letters, make a suffix of two labels (co.uk, com.au, or.jp).
+SECOND = ("ac", "co", "com", "edu", "go", "gob", "gov", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
 
 Z = 1.2815515655446004
 """One-sided 90 %."""
 MOST_BAD = 0.5
+MOST_HOSTS = 50_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,14 +47,22 @@ def match_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
     return rule, verdict
 
 
-def domain_of(host: Column, suffixes=SUFFIXES) -> tuple[Column, Column]:
-    """Registered domain and suffix."""
-    labels = F.split(host, r"\.")
-    last2 = F.concat_ws(".", F.slice(labels, -2, 2))
-    few = F.size(labels) < 2
-    long_ = last2.isin(*suffixes) & (F.size(labels) > 2)
-    domain = F.when(few, host).when(long_, F.concat_ws(".", F.slice(labels, -3, 3))).otherwise(last2)
-    suffix = F.when(few, "").when(last2.isin(*suffixes), last2).otherwise(F.element_at(labels, -1))
+def name_of(host: Column) -> Column:
+    """The host without user, port and final dots; an address in brackets as it is."""
+    plain = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
+    return F.regexp_replace(F.when(host.startswith("["), F.regexp_extract(host, r"^\[[^\]]*\]?", 0)).otherwise(plain), r"\.+$", "")
+
+
+def domain_of(host: Column, suffixes: tuple[str, ...] = ()) -> tuple[Column, Column]:
+    """Registered domain and suffix. A suffix is the last label, or the last two by the rule of SECOND or if
+    suffixes (a public list's of two labels) has them. Addresses stand for themselves, without a suffix."""
+    name = name_of(host)
+    labels = F.split(name, r"\.")
+    last2, last = F.concat_ws(".", F.slice(labels, -2, 2)), F.element_at(labels, -1)
+    few = (F.size(labels) < 2) | name.startswith("[") | name.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$")
+    two = (F.length(last) == 2) & F.element_at(labels, -2).isin(*SECOND) | last2.isin(*suffixes)
+    domain = F.when(few, name).when(two & (F.size(labels) > 2), F.concat_ws(".", F.slice(labels, -3, 3))).otherwise(last2)
+    suffix = F.when(few, "").when(two, last2).otherwise(last)
     return domain, suffix
 
 
@@ -70,38 +79,40 @@ def _shrunk(children: DataFrame, parent_rate: Column) -> DataFrame:
     return children.withColumn("prior", p).withColumn("weight", F.col("n") + F.lit(strength)).withColumn("rate", (F.col("bad") + F.lit(strength) * F.col("prior")) / F.col("weight"))
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
-    """host, rate, bound: the posterior mean and lower bound of each host's bad rate.
+def reputation(outcomes: DataFrame, suffixes: tuple[str, ...] = ()) -> DataFrame:
+    """host, pages, rate, bound: rows, posterior mean and lower bound of each host's bad rate.
 
     outcomes: host, bad (0, 1, or null where unlabelled), one row for each page outcome.
     """
     # partial sums make a row for each host and task, so a host with a third of all pages costs no task more
-    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"))
-    domain, suffix = domain_of(F.col("host"))
+    hosts = outcomes.groupBy("host").agg(F.count(F.lit(1)).alias("pages"), F.count("bad").alias("n"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"))
+    domain, suffix = domain_of(F.col("host"), suffixes)
     hosts = written(hosts.withColumns({"domain": domain, "suffix": suffix}), "host-counts")
     add = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     all_ = hosts.agg(*add).first()
     overall = ((all_["bad"] or 0) + 0.5) / ((all_["n"] or 0) + 1.0)
-    suffixes = _shrunk(hosts.groupBy("suffix").agg(*add), F.lit(overall)).select("suffix", F.col("rate").alias("suffix_rate"))
-    domains = hosts.groupBy("domain", "suffix").agg(*add).join(suffixes, "suffix")
-    domains = _shrunk(domains, F.col("suffix_rate")).select("domain", F.col("rate").alias("domain_rate"))
-    scored = _shrunk(hosts.join(domains, "domain"), F.col("domain_rate"))
+    by_suffix = _shrunk(hosts.groupBy("suffix").agg(*add), F.lit(overall)).select("suffix", F.col("rate").alias("suffix_rate"))
+    domains = hosts.groupBy("domain", "suffix").agg(*add).join(by_suffix, "suffix")
+    domains = _shrunk(domains, F.col("suffix_rate")).select("domain", "suffix", F.col("rate").alias("domain_rate"))
+    scored = _shrunk(hosts.join(domains, ["domain", "suffix"]), F.col("domain_rate"))
     sd = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("weight") + 1))
-    return scored.select("host", "rate", (F.col("rate") - F.lit(Z) * sd).alias("bound"))
+    return scored.select("host", "pages", "rate", (F.col("rate") - F.lit(Z) * sd).alias("bound"))
 
 
-def judge(pages: DataFrame, labels: DataFrame, most_bad: float = MOST_BAD) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, most_bad: float = MOST_BAD, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """page_id, host, path, rule, verdict, host_rate.
 
     A page's outcome is the labels row whose doc_id is its page_id: bad if toxic, or
     not of quality; null flags count as good, and a row of two nulls is no label.
     Pages without :// share the empty host. Repeated pages each get a row, and
-    repeated labels each count. Without labels nothing is blocked but by rule.
+    repeated labels each count. Without labels nothing is blocked but by rule. Rates of up
+    to MOST_HOSTS hosts are broadcast; of more, those of the hosts with the most pages.
     """
     host, path = split_url(F.col("url"))
     rule, verdict = match_rule(F.col("host"), F.col("path"))
     seen = pages.select("page_id", host.alias("host"), path.alias("path"))
     bad = F.when((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0), 1).when(F.col("toxic").isNotNull() | F.col("quality").isNotNull(), 0)
     marks = labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-    known = reputation(seen.join(marks, "page_id", "left").select("host", "bad"))
-    return seen.join(known, "host", "left").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("bound") > most_bad, "block").otherwise("allow")).alias("verdict"), F.round("rate", 6).alias("host_rate"))
+    known = written(reputation(seen.join(marks, "page_id", "left").select("host", "bad"), suffixes).withColumnRenamed("host", "known_host"), "host-rates")
+    scored = join_counted(seen, "host", known, "known_host", "pages", MOST_HOSTS)
+    return scored.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("bound") > most_bad, "block").otherwise("allow")).alias("verdict"), F.round("rate", 6).alias("host_rate"))

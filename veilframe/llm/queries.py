@@ -157,7 +157,10 @@ def op7_sql() -> str:
         name, _, rest = text.partition("/")
         fits = f"(host = '{name}' OR ends_with(host, '.{name}')) AND starts_with(path, '/{rest}')"
         rule, verdict = f"CASE WHEN {fits} THEN '{text}' ELSE {rule} END", f"CASE WHEN {fits} THEN '{what}' ELSE {verdict} END"
-    two = ", ".join(f"'{s}'" for s in hosts.SUFFIXES)
+    second = ", ".join(f"'{s}'" for s in hosts.SECOND)
+    few = r"(len(l) < 2 OR starts_with(name, '[') OR regexp_full_match(name, '[0-9]{1,3}(\.[0-9]{1,3}){3}'))"
+    two = f"(length(l[-1]) = 2 AND l[-2] IN ({second}))"
+    name = r"regexp_replace(CASE WHEN starts_with(host, '[') THEN regexp_extract(host, '^\[[^\]]*\]?') ELSE regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') END, '\.+$', '')"
     shrink = lambda child, parent, rate: f"(SELECT c.*, {rate} AS prior FROM {child} c {parent})"
     strength = "(SELECT 1 / least(greatest(CASE WHEN sum((n - 1) * prior * (1 - prior)) = 0 THEN 0 ELSE (sum(n * power(bad / n - prior, 2)) - sum(prior * (1 - prior))) / sum((n - 1) * prior * (1 - prior)) END, 0.001), 0.999) - 1 FROM {t} WHERE n > 0)"
     level = lambda name, source: f"{name}_p AS ({source}), {name} AS (SELECT *, n + {strength.format(t=name + '_p')} AS weight, (bad + {strength.format(t=name + '_p')} * prior) / (n + {strength.format(t=name + '_p')}) AS rate FROM {name}_p)"
@@ -165,16 +168,16 @@ def op7_sql() -> str:
 WITH cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 seen AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{hosts.UPPER}', '{hosts.LOWER}') AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM cut),
 marks AS (SELECT doc_id, CASE WHEN coalesce(toxic, 0) = 1 OR coalesce(quality, 1) = 0 THEN 1 WHEN toxic IS NOT NULL OR quality IS NOT NULL THEN 0 END AS bad FROM labels),
-counts AS (SELECT host, count(bad) AS n, sum(coalesce(bad, 0)) AS bad, string_split(host, '.') AS l FROM seen LEFT JOIN marks ON page_id = doc_id GROUP BY host),
-tails AS (SELECT *, array_to_string(l[-2:], '.') AS last2 FROM counts),
-h AS (SELECT host, n, bad, CASE WHEN len(l) < 2 THEN host WHEN last2 IN ({two}) AND len(l) > 2 THEN array_to_string(l[-3:], '.') ELSE last2 END AS domain,
-  CASE WHEN len(l) < 2 THEN '' WHEN last2 IN ({two}) THEN last2 ELSE l[-1] END AS suffix FROM tails),
+counts AS (SELECT host, count(bad) AS n, sum(coalesce(bad, 0)) AS bad, {name} AS name FROM seen LEFT JOIN marks ON page_id = doc_id GROUP BY host),
+tails AS (SELECT *, string_split(name, '.') AS l, array_to_string(l[-2:], '.') AS last2 FROM counts),
+h AS (SELECT host, n, bad, CASE WHEN {few} THEN name WHEN {two} AND len(l) > 2 THEN array_to_string(l[-3:], '.') ELSE last2 END AS domain,
+  CASE WHEN {few} THEN '' WHEN {two} THEN last2 ELSE l[-1] END AS suffix FROM tails),
 overall AS (SELECT (sum(bad) + 0.5) / (sum(n) + 1.0) AS r FROM h),
 suf AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY suffix),
 dom AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
 {level("s", shrink("suf", ", overall", "r"))},
 {level("m", shrink("dom", "JOIN s USING (suffix)", "s.rate"))},
-{level("o", shrink("h", "JOIN m USING (domain)", "m.rate"))}
+{level("o", shrink("h", "JOIN m USING (domain, suffix)", "m.rate"))}
 SELECT page_id, host, path, {rule} AS rule, coalesce({verdict}, CASE WHEN o.rate - {hosts.Z} * sqrt(o.rate * (1 - o.rate) / (o.weight + 1)) > {hosts.MOST_BAD} THEN 'block' ELSE 'allow' END) AS verdict
 FROM seen JOIN o USING (host)
 """
