@@ -15,14 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, groups_of_rows, share, taken
+from .common import as_bytes, groups_of_rows, map_arrow, share, taken
 
 BUCKETS = 1 << 16
 ORDERS = 3
 SMOOTHING = 0.5
 MOST_TRAINING = 20_000
 """About how many labelled documents the model is fitted on, drawn by a hash of doc_id; scoring reads all."""
-MOST_LANGUAGES = 1_000
+MOST_LANGUAGES = 200
+"""The matrix of so many is 0.1 GB."""
 BATCH_BYTES = 2 << 20
 UNKNOWN = "und"
 
@@ -103,7 +104,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     gets BUCKETS numbers for each of at most MOST_LANGUAGES languages.
     """
     usable = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull() & ~held_out(id_col))
-    n = usable.count()
+    n, different = usable.agg(F.count(F.lit(1)), F.approx_count_distinct(f"`{lang_col}`")).first()
+    if different > MOST_LANGUAGES // 2 and (different := usable.select(f"`{lang_col}`").distinct().count()) > MOST_LANGUAGES:
+        raise ValueError(f"{different} languages; the matrix that is broadcast is for {MOST_LANGUAGES} at most")
     if n > most:
         usable = usable.where(F.pmod(F.xxhash64(F.lit("langid"), f"`{id_col}`"), F.lit(1_000_003)) < int(1_000_003 * most / n))
 
@@ -133,8 +136,6 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         if n_docs:
             by_lang[lang] = np.bincount(plain["bucket"], weights=plain["n"], minlength=BUCKETS)
             docs_of[lang] = n_docs
-    if len(docs_of) > MOST_LANGUAGES:
-        raise ValueError(f"{len(docs_of)} languages; the matrix that is broadcast is for {MOST_LANGUAGES} at most")
     return Model(by_lang, docs_of)
 
 
@@ -168,6 +169,8 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least
             good = [x != UNKNOWN and s >= least and (wanted is None or x in wanted) for x, s in zip(langs, sure, strict=True)]
             row = 0
             for b in held:
-                yield b.filter(pa.array(good[row : (row := row + b.num_rows)], pa.bool_()))
+                some = b.filter(pa.array(good[row : (row := row + b.num_rows)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(some.columns, names=names)
 
-    return docs.mapInArrow(kept, docs.schema)
+    names = docs.columns
+    return map_arrow(docs, kept, docs.schema)
