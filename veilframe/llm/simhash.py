@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, checkpoint, groups_of_rows, written
+from .common import as_bytes, checkpoint, groups_of_rows, join_split, written
 
 SHINGLE = 3
 HASH_SEED = 42
@@ -35,6 +35,8 @@ DISTANCE = 2
 MOST_IN_CELL = 48
 BATCH_BYTES = 4 << 20
 PIECE = 1 << 16
+MANY, MOST_HUBS = 1_000, 10_000
+"""Keys of more than MANY rows, and of more than one row in MOST_HUBS, are joined by a broadcast of at most MOST_HUBS rows."""
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _LOW_BITS = 0x5555555555555555
@@ -55,8 +57,11 @@ def shingle_hashes(text: bytes | None, shingle: int) -> list[int]:
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """The SimHash of lower-cased words, unsigned; no words: 0."""
-    hashes, ones = shingle_hashes(text, shingle), None
-    n = len(hashes)
+    return print_of(shingle_hashes(text, shingle))
+
+
+def print_of(hashes: list[int]) -> int:
+    n, ones = len(hashes), None
     if not n:
         return 0
     for k in range(0, n, PIECE):
@@ -67,17 +72,21 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the 64 bits as a long) for every row."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    """doc_id, row (a hash of all columns) and fp (the 64 bits as a long) for every row."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("row", T.LongType()), T.StructField("fp", T.LongType())])
 
     def run(batches):
-        for held in groups_of_rows(batches, 1, BATCH_BYTES):
-            prints = np.array([fingerprint(t, shingle) for t in as_bytes(held, 1)], np.uint64).view(np.int64)
+        for held in groups_of_rows(batches, 2, BATCH_BYTES):
+            prints = np.array([fingerprint(t, shingle) for t in as_bytes(held, 2)], np.uint64).view(np.int64)
             row = 0
             for b in held:
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(prints[row : (row := row + b.num_rows)])], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prints[row : (row := row + b.num_rows)])], names=schema.names)
+
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), row_hash(docs).alias("row"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
 
-    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).mapInArrow(run, schema)
+
+def row_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _signed(x: int) -> int:
@@ -122,7 +131,7 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node that each node of the edges (a, b) reaches, for nodes other than it.
 
     Alternates large and small stars until the edges stay the same; each round is
-    cut off in the shared checkpoint folder.
+    cut off in the shared checkpoint folder. Nodes with many edges, of which there can't be many, are broadcast.
     """
 
     def state(e: DataFrame):
@@ -132,12 +141,13 @@ def components(edges: DataFrame) -> DataFrame:
     edges = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     now = state(edges)
     while now[0]:
+        many = max(MANY, 2 * now[0] // MOST_HUBS)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a")
-        small = small.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
+        low = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("low"), F.count(F.lit(1)).alias("n"))
+        large = join_split(both.where("b > a"), "a", low, "node", "n", many).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        low = large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n"))
+        small = join_split(large, "a", low, "node", "n", many)
+        small = small.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select(F.col("node").alias("a"), F.col("low").alias("b")))
         edges = checkpoint(small.distinct())
         was, now = now, state(edges)
         if was == now:
@@ -152,19 +162,35 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most
     any other. Null ids get a row but name no component unless all ids in it are null
     (then it is null). Repeated rows each get a row. No rows give no rows.
     """
-    each = written(fingerprints(docs, id_col, text_col), "simhash-docs")
-    prints = written(each.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-prints")
+    each = written(fingerprints(docs, id_col, text_col).select("doc_id", "fp"), "simhash-docs")
+    prints = written(each.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "simhash-prints")
+    distinct, rows = prints.agg(F.count(F.lit(1)), F.sum("n")).first()
     roots = components(links(prints.select("fp"), most_in_cell))
     linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     linked = linked.join(prints, F.col("node") == F.col("fp")).select("fp", "root", "rep")
-    least = linked.groupBy("root").agg(F.min("rep").alias("least"))
-    named = linked.join(least, "root").select(F.col("fp").alias("node"), "least")
-    table = prints.join(named, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("least", "rep").alias("component_id"))
-    return each.join(table, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    least = linked.groupBy("root").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n"))
+    named = join_split(linked, "root", least, "root", "n", max(MANY, distinct // MOST_HUBS)).select(F.col("fp").alias("node"), "least")
+    table = prints.join(named, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("print"), F.coalesce("least", "rep").alias("component_id"), "n")
+    # boilerplate's fingerprint may be that of a third of all documents
+    return join_split(each, "fp", table, "print", "n", max(MANY, (rows or 0) // MOST_HUBS)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, that with the smallest id; of rows that share an id one stays. Rows without an id stay."""
-    best = groups(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    with_id = docs.join(best, docs[f"`{id_col}`"] == best["__kept_id"], "left_semi").dropDuplicates([id_col])
-    return with_id.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    """One row of each component of fingerprints, that with the smallest id. Rows without an id stay.
+
+    Rows of one id are told apart by all their columns: texts that aren't near copies of any other stay, whatever their ids.
+    """
+    each = written(fingerprints(docs.where(F.col(f"`{id_col}`").isNotNull()), id_col, text_col), "simhash-docs")
+    prints = written(each.groupBy("fp").agg(F.min(F.struct("doc_id", "row")).alias("best")), "simhash-prints")
+    roots = components(links(prints.select("fp")))
+    best = prints.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
+    return kept_rows(docs, each, best.select("best.*"), id_col)
+
+
+def kept_rows(docs: DataFrame, each: DataFrame, best: DataFrame, id_col: str) -> DataFrame:
+    """The rows of docs that best names by id and hash (doc_id, row), repeated ones once, and those without an id. each: doc_id, row of all."""
+    kept = written(each.join(best, ["doc_id", "row"], "left_semi").groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n")), "simhash-kept")
+    carried = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(f"`{id_col}`").alias("doc_id"), row_hash(docs).alias("row"))
+    once = carried.join(kept.where("n = 1"), ["doc_id", "row"], "left_semi").select("doc.*")
+    again = carried.join(kept.where("n > 1"), ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"]).select("doc.*")
+    return once.unionByName(again).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
