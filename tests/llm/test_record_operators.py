@@ -1,5 +1,6 @@
 """WARC, SimHash, URL filter, mixing, language ID, sharding: brute force and edge cases."""
 
+import datetime
 import hashlib
 import io
 import math
@@ -53,6 +54,30 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_ids_that_could_break_a_header(spark, tmp_path):
+    rows = [("", "u", "a" * 120), ("x\r\nEvil: 1", "u", "a" * 120), ("é %41 b", "u", "b"), (None, "u", "a" * 120), ("z", "u\r\nEvil: 2", "c")]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()}
+    assert got == {"": ("response", None), "x\r\nEvil: 1": ("revisit", ""), "é %41 b": ("response", None), None: ("revisit", ""), "z": ("response", None)}
+
+
+def test_damaged_members_are_told(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", f"{i} " * 300) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    files = warc.write(pages, str(tmp_path))
+    (name, size), = [(r["path"], r["size"]) for r in files.collect()]
+    whole = warc.read(spark, str(tmp_path), files, 500)
+    assert whole.count() == 40 and warc.gaps(whole, files).count() == 0
+    at, length = whole.where("page_id = 7").select("offset", "length").first()
+    last = whole.orderBy(F.desc("offset")).first()
+    data = bytearray(open(name, "rb").read())
+    data[at + length - 8] ^= 255  # its checksum
+    open(name, "wb").write(bytes(data[:-5]))  # and the last member is cut off
+    files = spark.createDataFrame([(name, size - 5)], "path string, size long")
+    left = warc.read(spark, str(tmp_path), files, 500)
+    lost = sorted((r["start"], r["bytes"]) for r in warc.gaps(left, files).collect())
+    assert left.count() == 38 and lost == sorted([(at, length), (last["offset"], last["length"] - 5)])
+
+
 def test_member_with_bad_checksum_is_no_record():
     good = warc.record(1, "u", b"a" * 500, "d")
     bad = good[:-6] + b"\0\0" + good[-4:]
@@ -130,6 +155,20 @@ def test_links_of_crowded_fingerprints_keep_components(spark, most):
     assert {s: roots.get(s, s) for s in signed.values()} == want
 
 
+def test_keep_one_of_rows_that_share_an_id(spark):
+    rows = [(1, "alpha beta gamma delta"), (1, "completely other words here now"), (2, "alpha beta gamma delta"), (3, "alpha beta gamma delta"), (3, "alpha beta gamma delta")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == rows[:2]
+
+
+@pytest.mark.parametrize("many", [1, 1000])
+def test_a_hot_fingerprint_is_joined_by_broadcast(spark, many, monkeypatch):
+    monkeypatch.setattr(simhash, "MANY", many)
+    rows = [(i, "boilerplate of half the rows") for i in range(100)] + [(200 + i, f"{i} own words {i * 7} here {i * i}") for i in range(100)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components({i: brute_simhash(t) for i, t in rows})
+
+
 def test_simhash_of_odd_rows(spark):
     schema = "doc_id long, text string"
     assert simhash.groups(spark.createDataFrame([], schema)).count() == 0
@@ -161,6 +200,68 @@ def test_url_rules_and_reputation(spark):
     assert hosts.judge(pages.limit(0), labels).count() == 0
 
 
+def test_registered_domains(spark):
+    want = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.example.com:8080": ("example.com", "com"), "a.example.com.": ("example.com", "com"), "192.168.1.7": ("192.168.1.7", ""), "192.168.1.7:80": ("192.168.1.7", ""), "[2001:db8::1]:443": ("[2001:db8::1]", ""), "me@www.site.org": ("site.org", "org"), "localhost": ("localhost", ""), "": ("", ""), "www.blog.city.jp": ("city.jp", "jp"), "a.kids.us": ("kids.us", "us")}
+    df = spark.createDataFrame([(h,) for h in want], "host string")
+    got = {r["host"]: (r["d"], r["s"]) for r in df.select("host", *(c.alias(n) for c, n in zip(hosts.domain_of(F.col("host")), "ds", strict=True))).collect()}
+    assert got == want
+    domain, suffix = hosts.domain_of(F.col("host"), ("kids.us",))
+    assert df.where("host = 'a.kids.us'").select(domain, suffix).first()[:] == ("a.kids.us", "kids.us")
+
+
+def test_a_host_with_half_the_pages_gets_the_same_verdicts(spark, monkeypatch):
+    urls = ["http://hot.net/x"] * 60 + [f"http://h{i}.org{i % 3}/x" for i in range(60)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 2, i % 3) for i in range(0, 120, 2)], "doc_id long, quality int, toxic int")
+    want = sorted(map(repr, hosts.judge(pages, labels).collect()))
+    monkeypatch.setattr(hosts, "MOST_HOSTS", 5)
+    assert sorted(map(repr, hosts.judge(pages, labels).collect())) == want
+
+
+def brute_reputation(rows):
+    """The lower bound of each host's bad rate of (host, bad) by the formulas written out, one level after another."""
+    n, bad = Counter(), Counter()
+    for h, b in rows:
+        n[h] += b is not None
+        bad[h] += b or 0
+    parts = {h: h.split(".") for h in n}
+    domain = {h: ".".join(p[-2:]) if len(p) > 1 else h for h, p in parts.items()}
+    suffix = {h: p[-1] if len(p) > 1 else "" for h, p in parts.items()}
+
+    def up(names):
+        a, b = Counter(), Counter()
+        for h in n:
+            a[names(h)] += n[h]
+            b[names(h)] += bad[h]
+        return a, b
+
+    def shrunk(n, bad, prior):
+        own = [k for k in n if n[k]]
+        extra = sum((n[k] - 1) * prior[k] * (1 - prior[k]) for k in own)
+        spread = sum(n[k] * (bad[k] / n[k] - prior[k]) ** 2 for k in own) - sum(prior[k] * (1 - prior[k]) for k in own)
+        strength = 1 / min(max(spread / extra if extra else 0.0, 0.001), 0.999) - 1
+        return {k: ((bad[k] + strength * prior[k]) / (n[k] + strength), n[k] + strength) for k in n}
+
+    overall = (sum(bad.values()) + 0.5) / (sum(n.values()) + 1)
+    sn, sb = up(lambda h: suffix[h])
+    s = shrunk(sn, sb, dict.fromkeys(sn, overall))
+    dn, db = up(lambda h: (domain[h], suffix[h]))
+    d = shrunk(dn, db, {k: s[k[1]][0] for k in dn})
+    out = shrunk(n, bad, {h: d[domain[h], suffix[h]][0] for h in n})
+    return {h: (r, r - hosts.Z * math.sqrt(r * (1 - r) / (w + 1))) for h, (r, w) in out.items()}
+
+
+def test_reputation_is_the_formula(spark):
+    rng = random.Random(9)
+    names = [f"{a}.{b}.{c}" for a in ("www", "m", "x") for b in ("one", "two", "bad") for c in ("com", "net")] + ["plain", ""]
+    rows = [(h, rng.choice([None, 0, 1 if "bad" in h else rng.choice((0, 0, 1))])) for h in (rng.choice(names) for _ in range(900))]
+    got = {r["host"]: (r["rate"], r["bound"]) for r in hosts.reputation(spark.createDataFrame(rows, "host string, bad int")).collect()}
+    want = brute_reputation(rows)
+    assert got.keys() == want.keys()
+    for h, pair in want.items():
+        assert got[h] == pytest.approx(pair, rel=1e-9)
+
+
 def brute_mix(rows, alpha=0.5, seed=mixing.SEED):
     n = Counter(s for _, s in rows)
     w = {s: c**alpha for s, c in n.items()}
@@ -192,6 +293,16 @@ def test_mixing_is_brute_force(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name(spark, monkeypatch):
+    names = ["mix_source", "mix_source_n", "mix_source_parts", "mix_source_at_most", "row", "ident", "by", "times", "key", "a.b", "__key"]
+    rows = [(i, "t", f"s{i % 9}", *(100 * i + k for k in range(len(names)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    plain = sorted(map(tuple, mixing.mix(df, keep_keys=False).collect()))
+    assert mixing.mix(df, keep_keys=False).columns == df.columns and set(plain) <= set(rows) and len(plain) > 200
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)  # sources beyond it are joined by a shuffle
+    assert sorted(map(tuple, mixing.mix(df, keep_keys=False).collect())) == plain
+
+
 def test_mixing_weights_and_large_rates(spark):
     df = spark.createDataFrame([(1, None, "rare"), (None, "no id", "rare"), (2, "", "common"), (3, "", "none")], "doc_id long, text string, source string")
     got = Counter(r["source"] for r in mixing.mix(df, weights={"rare": 3, "common": 1}, total=8000).collect())
@@ -226,6 +337,25 @@ def test_language_scores_are_those_of_naive_bayes(spark):
             assert (lang, s) == ("und", 0.0)
 
 
+def test_language_model_is_counted_from_the_usable_documents(spark, monkeypatch):
+    texts = ["the cat", "Le chat!", "", "das 7", "the dog", "le chien", None, "...", "not used", "no id"]
+    langs = ["en", "fr", "en", "de", "en", "fr", "en", "xx", None, "en"]
+    rows = [(None if t == "no id" else i, t, x) for i, (t, x) in enumerate(zip(texts, langs, strict=True))] + [(i, f"text {i}", "en") for i in range(20, 60)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3))
+    counts, docs, table = {}, Counter(), langid._letters()
+    for i, t, x in rows:
+        if i is not None and x and zlib.crc32(str(i).encode()) % 4 != 2:
+            b = langid.features([(t or "").encode()], table)[0].ravel()
+            counts[x] = counts.get(x, 0) + np.bincount(b[b < langid.BUCKETS], minlength=langid.BUCKETS)
+            if letters(t):  # other texts add the gap that they are, but no document
+                docs[x] += 1
+    want = langid.Model(counts, docs)
+    assert model.languages == want.languages and np.allclose(model.log, want.log) and np.allclose(model.prior, want.prior)
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     odd = spark.createDataFrame([(90001, None, "en", None, 0), (90002, " 123 ", None, "s", 5), (None, "the of and", None, None, 1)], docs.schema)
@@ -294,3 +424,27 @@ def test_sharding_of_few_and_odd_rows(spark):
     for r in got:
         by[r["shard"]].append(r["slot"])
     assert len(got) == 5 and all(sorted(v) == list(range(len(v))) for v in by.values()) and max(by) < 8
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "nulls", "one id"])
+def test_sharding_takes_any_id(spark, kind):
+    rng = random.Random(9)
+    make = {"string": lambda i: f"doc-{i:05d}-é", "date": lambda i: datetime.date(2020, 1, 1) + datetime.timedelta(i), "nulls": lambda i: None, "one id": lambda i: 7 if i % 3 else i}[kind]
+    docs = [(make(i), f"{'x' * rng.randrange(50)} {rng.randrange(200)}") for i in range(600)]
+    df = spark.createDataFrame(docs, f"doc_id {({'string': 'string', 'date': 'date'}).get(kind, 'long')}, text string").repartition(4)
+    got = sharding.assign(df).collect()
+    if kind in ("string", "date"):
+        assert {r["doc_id"]: (r["shard"], r["slot"]) for r in got} == brute_shards(docs)
+    assert Counter((r["doc_id"], r["text_crc32"]) for r in got) == Counter((d, zlib.crc32(t.encode())) for d, t in docs)
+    by, of = defaultdict(list), defaultdict(set)
+    for r in got:
+        by[r["shard"]].append(r["slot"])
+        of[r["text_crc32"]].add(r["shard"])
+    assert all(sorted(v) == list(range(len(v))) for v in by.values()) and all(len(v) == 1 for v in of.values()) and len(by) == 8
+
+
+def test_sharding_in_a_seeded_order(spark):
+    docs = [(i, f"text {i % 500}") for i in range(900)]
+    got = sharding.assign(spark.createDataFrame(docs, "doc_id long, text string"), order_seed=3).collect()
+    firsts = [r["doc_id"] for r in sorted(got, key=lambda r: (r["shard"], r["slot"]))]
+    assert len(got) == 900 and firsts != sorted(firsts) and len({(r["text_crc32"], r["shard"]) for r in got}) == 500

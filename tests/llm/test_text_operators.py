@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -66,6 +67,21 @@ def test_decontamination_is_brute_force(spark, passages):
     assert {r["doc_id"] for r in kept.collect()} == {k for k, v in want.items() if not v[4]}
 
 
+def test_decontamination_with_dots_in_names_and_an_item_beyond_a_block(spark, passages):
+    docs, items = passages
+    rng = random.Random(6)
+    items = [*items, (99, " ".join(f"v{rng.randrange(30)}" for _ in range(300)))]
+    long = items[-1][1].split()
+    docs = [*docs, (50, " ".join(long[100:130])), (51, " ".join(long)), (52, " ".join(long[::-1]))]
+    df = spark.createDataFrame(docs, "`doc.id` long, `a.text` string")
+    bench = spark.createDataFrame(items, "`item.id` long, `item.text` string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontam.report(df, bench.toDF("item_id", "text"), "doc.id", "a.text").collect()}
+    want = brute_decontam(docs, items)
+    assert got == {k: v[:3] for k, v in want.items()}
+    out, names = decontam.annotate(df, bench, "a.text", "item.id", "item.text", block_bytes=200)
+    assert {r["doc.id"]: (r[names["words"]], r[names["hits"]], len(r[names["items"]])) for r in out.collect()} == got
+
+
 def test_decontamination_of_nothing(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string")
@@ -131,6 +147,34 @@ def test_fingerprints_of_few_and_odd_rows(spark):
     assert sorted((r["doc_id"] is None, r["n_chars"]) for r in odd) == [(False, 1), (False, 1), (False, 1), (True, 0), (True, 1)]
 
 
+@pytest.mark.parametrize("kind", ["string", "nulls", "one id"])
+def test_fingerprints_take_any_id(spark, kind):
+    rng = random.Random(3)
+    line = lambda: " ".join(rng.choice("ab cd éf".split()) for _ in range(rng.randrange(1, 9))) + ". "
+    texts = ["".join(line() for _ in range(rng.randrange(1, 9))) + str(i) for i in range(300)]
+    make = {"string": lambda i: f"id-{i * 7 % 300:04d}", "nulls": lambda i: None, "one id": lambda i: 5 if i % 3 else i}[kind]
+    docs = [(make(i), t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(docs, f"doc_id {'string' if kind == 'string' else 'long'}, text string").repartition(5)
+    got = Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in iblt.compare_with_next(df).collect())
+    tie = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    docs.sort(key=lambda d: (d[0] is not None, d[0], tie[d[1]]))
+    want = Counter((d, len(t), hashlib.sha256(iblt.edited(t, docs[(k + 1) % len(docs)][1]).encode()).hexdigest()) for k, (d, t) in enumerate(docs))
+    assert got == want
+
+
+def test_license_words_are_those_of_the_contract(spark):
+    docs = [(1, "wor\u212a of the mit license\n\n"), (2, " a b cc by\n"), (3, "\n\n MIT\nLicense. "), (4, "cc by\u0130 by CC\x00BY"), (5, "license MIT license apache\tlicense"), (6, " \n "), (7, "\u212amit license"), (8, "\ue000 mit \ue001license mit license"), (9, "mit license\n\nmit\r\nlicense license mit license")]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(docs, "doc_id int, text string")).collect()}
+    for i, text in docs:
+        w = words(text)
+        places = [k for k in range(len(w)) for p in licenses.PHRASES if w[k : k + len(p.split())] == p.split()]
+        r = got[i]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(places), min(places, default=None), max(places, default=None)), text
+    own = {"mit license": "a", "license mit": "b", "mit": "c"}  # phrases may overlap
+    r = licenses.scan(spark.createDataFrame([(1, "mit license mit license")], "doc_id int, text string"), phrases=own).first()
+    assert (r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == (5, 0, 2, "a,b,c")
+
+
 def test_licenses_are_brute_force(spark):
     rng = random.Random(3)
     filler = "the of and in this work is under a b c source code software license version 2 0 by cc".split()
