@@ -26,7 +26,7 @@ class Scan:
 def scan(spark: SparkSession, path: str, options: Options = Options(), names: NameLists | None = None, multi_line: bool = True) -> Scan:
     """Profiles a CSV, TSV or workbook. recode_key tells which site stands behind each label, and is there only if one does."""
     kind = format_of(path)
-    digest = sha256_of(path) if options.hash_file else None
+    digest = sha256_of(path, spark=spark) if options.hash_file else None
     key, tables, sheets, file_name = None, [], [], Path(path).name
     if kind == "excel":
         from .sources.sheets import open_book, read_sheet
@@ -42,8 +42,9 @@ def scan(spark: SparkSession, path: str, options: Options = Options(), names: Na
             tables.append(table)
             sheets.append(mf.sheet(name, i, table, options))
     else:
-        from .sources.text import RAW, read_text
+        from .sources.text import RAW, check_utf8, read_text
 
+        check_utf8(spark, path)
         df, header, present = read_text(spark, path, "\t" if kind == "tsv" else ",", multi_line)
         table = profile(df, options, names, header, present=present, columns=[c for c in df.columns if c != RAW], wide=WIDE_TEXT) if header else TableProfile(0, [])
         tables.append(table)

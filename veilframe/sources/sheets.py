@@ -18,6 +18,7 @@ from .xlsx import Workbook
 
 
 def open_book(path: str) -> Book:
+    path = path.removeprefix("file://")
     return {".xls": OldWorkbook, ".xlsb": BinaryWorkbook}.get(Path(path).suffix.lower(), Workbook)(path)
 
 
