@@ -38,22 +38,29 @@ def trim(v: Column) -> Column:
     return F.when(v.rlike(r"(?U)\A\s|\s\z"), F.regexp_replace(v, r"(?U)\A\s+|\s+\z", "")).otherwise(v)
 
 
+def _begins(t: Column, others: str = "") -> Column:
+    """Whether the first character is a digit (of any script) or one of others; spares long texts the patterns."""
+    code = F.ascii(t)
+    return code.between(48, 57) | (code > 127) | code.isin(*map(ord, others)) if others else code.between(48, 57) | (code > 127)
+
+
 def is_missing(v: Column) -> Column:
-    return F.coalesce((F.octet_length(v) <= 8) & F.lower(v).isin(*MISSING) | F.lower(trim(v)).isin(*MISSING), F.lit(True))
+    t = trim(v)
+    return F.coalesce((F.octet_length(t) <= 8) & F.lower(t).isin(*MISSING), F.lit(True))
 
 
 def is_boolean(t: Column) -> Column:
     """t: trimmed, as for the others."""
-    return F.lower(t).isin(*TRUE, *FALSE)
+    return (F.octet_length(t) <= 5) & F.lower(t).isin(*TRUE, *FALSE)
 
 
 def is_integer(t: Column) -> Column:
     """Of 64 bits."""
-    return F.when(t.rlike(r"\A[+-]?[0-9]+\z"), t.try_cast("bigint").isNotNull()).otherwise(False)
+    return F.when(_begins(t, "+-") & t.rlike(r"\A[+-]?[0-9]+\z"), t.try_cast("bigint").isNotNull()).otherwise(False)
 
 
 def is_numeric(t: Column) -> Column:
-    return t.rlike(NUMBER)
+    return _begins(t, "+-.iInN") & t.rlike(NUMBER)
 
 
 def parse_numeric(t: Column) -> Column:
@@ -80,7 +87,7 @@ def is_date(t: Column) -> Column:
 
 
 def is_datetime(t: Column) -> Column:
-    return t.rlike(DATETIME)
+    return (F.octet_length(t) >= 19) & _begins(t) & t.rlike(DATETIME)
 
 
 def is_long(v: Column) -> Column:
