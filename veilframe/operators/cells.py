@@ -20,6 +20,7 @@ class Cell:
 
     index: int
     header: str
+    raw: Column
     text: Column
     present: Column
     missing: Column
@@ -36,12 +37,20 @@ class Cell:
         return self.present & ~self.missing
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """A column name that no given column has, whatever its case."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def cell(df: DataFrame, name: str, index: int, header: str | None = None, present: Column | None = None, number: Column | None = None) -> Cell:
     """number: where numbers come from, if not from the text (workbooks)."""
     col, kind = F.col(f"`{name}`"), df.schema[name].dataType
     there = present if present is not None else F.lit(True)
     own = {"index": index, "header": header if header is not None else name, "present": there}
-    plain = {"text": col.cast("string"), "missing": col.isNull(), "boolean": False, "integer": False, "numeric": False, "date": False, "datetime": False, "long": False, "number": None}
+    plain = {"raw": col, "text": col.cast("string"), "missing": col.isNull(), "boolean": False, "integer": False, "numeric": False, "date": False, "datetime": False, "long": False, "number": None}
     if isinstance(kind, T.IntegralType):
         return Cell(**own | plain | {"boolean": col.isin(0, 1), "integer": True, "numeric": True, "number": col.cast("double")})
     if isinstance(kind, T.FractionalType):
@@ -54,7 +63,7 @@ def cell(df: DataFrame, name: str, index: int, header: str | None = None, presen
         return Cell(**own | plain | {"datetime": True})
     text = col if isinstance(kind, T.StringType) else F.to_json(col) if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)) else col.cast("string")
     t = s.trim(text)
-    return Cell(**own, text=text, missing=s.is_missing(text), boolean=s.is_boolean(t), integer=s.is_integer(t), numeric=s.is_numeric(t), date=s.is_date(t), datetime=s.is_datetime(t), long=s.is_long(text), number=number if number is not None else s.parse_numeric(t))
+    return Cell(**own, raw=text, text=text, missing=s.is_missing(text), boolean=s.is_boolean(t), integer=s.is_integer(t), numeric=s.is_numeric(t), date=s.is_date(t), datetime=s.is_datetime(t), long=s.is_long(text), number=number if number is not None else s.parse_numeric(t))
 
 
 def cells_of(df: DataFrame, headers: list[str] | None = None, present: dict[str, Column] | None = None, numbers: dict[str, str] | None = None, columns: list[str] | None = None) -> list[Cell]:
