@@ -20,9 +20,9 @@ from ..functions.columns import check_name
 from ..functions.phi import NameLists
 from ..functions.scalars import bucket_name
 from ..operators import frequencies as fr
-from ..operators.cells import cells_of, long_form
+from ..operators.cells import cells_of, free_name, long_form
 from ..options import Options
-from .profile import profile
+from .profile import medians_of, profile
 
 CATEGORIES = 10
 K = 20
@@ -30,10 +30,12 @@ RELAXED_K = 10
 EXACT_MEDIAN_ROWS = 2_000_000
 WORDY_BYTES = 50
 MOST_BAD_NUMBERS = 0.05
+#: Fixed value: the document's warning.
 WARNING = "Review this schema before sharing. Ensure no PHI is present."
 
 #: Parts of column names that flag a risk; id warns but doesn't block.
 RISKY = ("name", "patient", "subject_name", "mrn", "medical_record", "ssn", "social_security", "dob", "birth", "birthday", "address", "street", "city", "zip", "postal", "phone", "email", "contact", "provider", "physician", "nurse", "doctor", "site", "hospital", "clinic", "facility")
+#: Names whose columns may not list plain words.
 NO_WORDS = ("provider", "site", "name", "hospital", "physician", "nurse")
 
 #: Patterns looked for anywhere in a value.
@@ -43,6 +45,7 @@ ANYWHERE = (
     ("postal", r"\b\d{5}(-\d{4})?\b|\b[A-Za-z]\d[A-Za-z]\s?\d[A-Za-z]\d\b"),
     ("long_id", r"(?=[A-Za-z0-9]*[A-Za-z])(?=[A-Za-z0-9]*\d)[A-Za-z0-9]{10,}"),
 )
+#: Fixed value: words that may always be listed.
 BOOLEANISH = r"(?i)^(yes|no|y|n|true|false|0|1|male|female|m|f)$"
 
 
@@ -65,6 +68,11 @@ def category_counts(freq: DataFrame, most: int = CATEGORIES) -> DataFrame:
     return freq.join(F.broadcast(few), "col_idx").groupBy("col_idx").agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("values"))
 
 
+def small_cells(counts, rows: int, k: int) -> str | None:
+    """Why values with these counts can't be listed whatever they are, or None."""
+    return "n_rows < k" if rows < k else "small cells (count < k)" if any(n < k for n in counts) else None
+
+
 def string_block(values: list[tuple[str, int]], header: str, kinds: list[str | None]) -> str | None:
     """Why a short-string column can't be listed, or None. Shares are of rows."""
     total = sum(n for _, n in values) or 1
@@ -94,6 +102,8 @@ def spec_sheet(df: DataFrame, name: str, index: int, options: Options, names: Na
     cells = cells_of(df, headers, kwargs.get("present"), kwargs.get("numbers"), cols)
     count = (lambda n: bucket_name(n)) if bucketed else (lambda n: n)
     method = "exact" if options.median_method == "exact" and base.rows <= EXACT_MEDIAN_ROWS else "p2_approx"
+    place = free_name(df.columns, "row")
+    medians = medians_of(df.withColumn(place, F.monotonically_increasing_id()), [c for c in cells if c.number is not None], F.col(place), replace(options, median="exact" if method == "exact" else "p2", exact_median=False))
     aggs = []
     for c in cells:
         t, own = s.trim(c.text), c.filled
@@ -102,7 +112,7 @@ def spec_sheet(df: DataFrame, name: str, index: int, options: Options, names: Na
         stamp = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(t, "T", " "), "Z$", ""))
         aggs += [F.min(F.when(own & _rule(c.datetime), stamp)).alias(f"t0_{c.index}"), F.max(F.when(own & _rule(c.datetime), stamp)).alias(f"t1_{c.index}")]
         x = F.when(own, c.number if c.number is not None else F.lit(None).cast("double"))
-        aggs += [F.bool_and(F.when(own, F.coalesce(x.between(1, 2958465) & (x == F.floor(x)), F.lit(False)))).alias(f"serial_{c.index}"), (F.percentile(x, 0.5) if method == "exact" else F.percentile_approx(x, 0.5, 10_000)).alias(f"med_{c.index}")]
+        aggs += [F.bool_and(F.when(own, F.coalesce(x.between(1, 2958465) & (x == F.floor(x)), F.lit(False)))).alias(f"serial_{c.index}")]
     got = df.agg(*aggs).first()
     few = [c for c in cells if (n := base.columns[c.index].n_distinct) is not None and n <= CATEGORIES]
     lists: dict[int, list[tuple[str, int]]] = {}
@@ -134,11 +144,11 @@ def spec_sheet(df: DataFrame, name: str, index: int, options: Options, names: Na
         if kind != "categorical":
             reason = f"{kind} columns are not listed"
         elif base.rows < k:
-            reason = "n_rows < k"
+            reason = small_cells((), base.rows, k)
         elif risk:
             reason = "column name suggests PHI"
-        elif any(n < k for _, n in values):
-            reason = "small cells (count < k)"
+        elif reason := small_cells((n for _, n in values), base.rows, k):
+            pass
         elif dtype == "string":
             reason = string_block(values, c.header, [kinds.get(v) or ("name" if names.likely(v) else None) for v, _ in values])
         one["exported_values"] = reason is None
@@ -152,7 +162,7 @@ def spec_sheet(df: DataFrame, name: str, index: int, options: Options, names: Na
             if base.rows < k:
                 one |= {"stats_suppressed": True, "suppression_reason": "n_rows < k; statistics suppressed to protect privacy"}
             else:
-                one["stats"] = {"min": c.min, "max": c.max, "mean": c.mean, "median": got[f"med_{i}"], "median_method": method, "median_ci": None, "median_note": None if method == "exact" else "Approximate; do not cite for publication"}
+                one["stats"] = {"min": c.min, "max": c.max, "mean": c.mean, "median": medians.get(i), "median_method": method, "median_ci": None, "median_note": None if method == "exact" else "Approximate; do not cite for publication"}
         if kind in ("date", "datetime"):
             a, b = ("d0", "d1") if kind == "date" else ("t0", "t1")
             show = base.rows >= k and not risk
@@ -170,7 +180,9 @@ def spec_sheet(df: DataFrame, name: str, index: int, options: Options, names: Na
 
 
 def document(name: str, kind: str, sheets: list[tuple[dict, list[str], list[str]]], options: Options, digest: str | None = None, now: str | None = None) -> dict:
-    method = "exact" if options.median_method == "exact" else "p2_approx"
+    """median_method is exact only if that of every column is: a sheet of over EXACT_MEDIAN_ROWS rows has estimates."""
+    used = {c["stats"]["median_method"] for x, *_ in sheets for c in x["columns"] if "stats" in c}
+    method = "exact" if options.median_method == "exact" and used <= {"exact"} else "p2_approx"
     return {
         "manifest_version": "1.0.0", "generated_at": now or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"), "warning": WARNING,
         "privacy": {"k": options.k, "counts": "bucketed" if options.bucketed else "exact", "export_categorical_values": "safe_only", "median_method": method},
@@ -191,13 +203,19 @@ def spec_scan(spark: SparkSession, path: str, options: Options | None = None, na
         for i, (name, _) in enumerate(book.sheets):
             header, _ = book.shape(i)
             n = len(header)
-            sheets.append(spec_sheet(read_sheet(spark, path, i), name, i, options, names, header, True, numbers={f"c{k}": f"n{k}" for k in range(n)}, columns=[f"c{k}" for k in range(n)]) if header else ({"sheet_name": name, "sheet_index": i, "total_rows": "0" if options.bucketed else 0, "total_columns": 0, "columns": []}, [], []))
+            sheets.append(spec_sheet(read_sheet(spark, path, i), name, i, options, names, header, True, numbers={f"c{k}": f"n{k}" for k in range(n)}, columns=[f"c{k}" for k in range(n)]) if header else empty_sheet(name, i, options))
     else:
-        from ..sources.text import RAW, read_text
+        from ..sources.text import RAW, check_utf8, read_text
 
+        check_utf8(spark, path)
         df, header, present = read_text(spark, path, "\t" if kind == "tsv" else ",")
-        sheets.append(spec_sheet(df, Path(path).name, 0, options, names, header, present=present, columns=[c for c in df.columns if c != RAW]))
-    return document(Path(path).name, kind, sheets, options, sha256_of(path) if options.hash_file else None)
+        sheets.append(spec_sheet(df, Path(path).name, 0, options, names, header, present=present, columns=[c for c in df.columns if c != RAW]) if header else empty_sheet(Path(path).name, 0, options))
+    return document(Path(path).name, kind, sheets, options, sha256_of(path, spark=spark) if options.hash_file else None)
+
+
+def empty_sheet(name: str, index: int, options: Options) -> tuple[dict, list[str], list[str]]:
+    out = {"sheet_name": name, "sheet_index": index, "total_rows": "0" if options.bucketed else 0, "total_columns": 0, "columns": []}
+    return out if options.bucketed else out | {"total_rows_exact": 0}, [], []
 
 
 def write_spec(doc: dict, path: str | Path) -> Path:
