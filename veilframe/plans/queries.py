@@ -16,8 +16,8 @@ from ..operators.cells import cells_of, long_form
 from ..operators.infer import infer_types
 from ..operators.p2 import p2_by_column
 from ..options import Options
-from . import spec
-from .profile import measured, profile
+from . import round_trips, spec
+from .profile import at_once, measured, profile
 
 SCHEMAS = {
     "region": "r_regionkey r_name",
@@ -42,14 +42,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What may be shared of orders' categories: values that occur k times and look like nothing personal, with bucketed counts."""
+    """What may be shared of orders' categories: values that occur k times and look like nothing personal (names too), with bucketed counts."""
     df = table(spark, sf_dir, "orders")
     cells = cells_of(df, columns=["o_orderstatus", "o_orderpriority"])
-    listed = fr.exportable(fr.frequencies(df, cells), 5)
+    listed = unnamed(fr.exportable(fr.frequencies(df, cells), 5))
     name = F.element_at(F.create_map(*[F.lit(x) for c in cells for x in (c.index, c.header)]), F.col("col_idx"))
     return listed.select(name.alias("col"), "value", s.bucket_count(F.col("n")).alias("bucket"))
 
 
+def unnamed(listed: DataFrame) -> DataFrame:
+    """Without values that are likely names; there are at most a few thousand to a column."""
+    return listed.where(~phi.likely_name(phi.NameLists.of())(F.col("value")))
+
+
 def bucket_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("value")).agg(F.count(F.lit(1)).alias("n"))
     b = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("value")).agg(F.count(F.lit(1)).alias("n"))
@@ -73,7 +78,7 @@ MISSING_CASES = ("NA", " n/a ", "null", "NaN", ".", "-", "--", "Missing", "none"
 NUMBER_CASES = ("42", "-42", "+7", "3.14", ".5", "1.", "1e10", "-1E-5", "1d", "1.5f", "abc", "", "inf", "-Infinity", "+nan", "0x10", "1_000", "1,000", "9223372036854775807", "9223372036854775808", "e5", ".", "+", "true", "Y", "f", "maybe", "2")
 DATE_CASES = ("2024-01-15", "2024-02-30", "01/15/2024", "13/01/2024", "15-01-2024", "31-04-2024", "1/5/24", "January 5, 2024", "Jan 5, 2024", "Febtober 5, 2024", "January 5 2024", "2024.01.15", "2024.13.15", "2024-01-15T10:30:00", "2024-01-15 10:30:00", "2024-01-15T10:30:00Z", "2024-01-15T10:30:00.125", "2024-99-99T99:99:99", "2024-01-15T10:30:00+02:00", "text", "")
 PHI_CASES = ("a.b@example.com", "a@b", "(604) 555-1234", "604.555.1234", "6045551234", "123-45-6789", "123456789", "12345", "12345-6789", "1234", "V6T 1Z4", "v6t1z4", "AB12345678", "ABCDEFGHIJ", "1234567890123", "https://x.org/a", "http://", "10.0.0.1", "999.1.1.1", "::1", "fe80::", "2001:0db8:85a3:0000:0000:8a2e:0370:7334", "00:1A:2B:3C:4D:5E", "00-1a-2b-3c-4d-5e", "42", "Male", "Treatment A", "2024-01-15", "3.14159", " 12345 ")
-NAME_CASES = ("Smith", "JOHNSON", "silva", "Wei", "Jean-Pierre", "Joao Silva", "Mary Q Smith", "Treatment", "Control", "42", "ABCD1234", "X", "Garcia Unknown", "Unknown Person")
+NAME_CASES = ("Smith", "JOHNSON", "silva", "Wei", "Jean-Pierre", "Joao Silva", "João Silva", "Côté", "CÔTÉ", "François Gagné", "Mary Q Smith", "Kim Novak", "Ana M. Prado", "Zoé Ötzi-Berg", "Treatment", "Control", "Treatment A", "Not applicable", "42", "ABCD1234", "X", "Garcia Unknown", "Unknown Person", "GARCIA unknown", "PROMO BRUSHED TIN")
 
 
 def _cases(spark: SparkSession, values) -> DataFrame:
@@ -116,11 +121,17 @@ def token_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def name_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    regions = table(spark, sf_dir, "region").select(F.col("r_name").alias("v"))
-    both = _cases(spark, NAME_CASES).select("v").unionByName(regions)
+    """The cases, and the distinct values of text columns of five tables."""
+    both = _cases(spark, NAME_CASES).select("v")
+    for name, col in NAME_COLUMNS:
+        both = both.unionByName(table(spark, sf_dir, name).select(F.col(col).alias("v")))
+    both = both.where("v is not null").distinct()
     return both.select("v", phi.likely_name(phi.NameLists.of())(F.col("v")).alias("likely_name"))
 
 
+NAME_COLUMNS = (("region", "r_name"), ("nation", "n_name"), ("part", "p_name"), ("part", "p_type"), ("customer", "c_mktsegment"), ("customer", "c_name"), ("conversations", "role"))
+
+
 def column_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(t, c, (k := names_of.check_name(c)).classification, k.pattern) for t, cols in SCHEMAS.items() for c in cols.split()]
     rows += [("(cases)", c, (k := names_of.check_name(c)).classification, k.pattern) for c in NAME_HEADERS]
@@ -159,7 +170,7 @@ def k_anonymous_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = table(spark, sf_dir, name)
         cells = cells_of(df, columns=cols)
         header = F.element_at(F.create_map(*[F.lit(x) for c in cells for x in (c.index, f"{name}.{c.header}")]), F.col("col_idx"))
-        one = fr.exportable(fr.frequencies(df, cells), 5).select(header.alias("col"), "value", "n")
+        one = unnamed(fr.exportable(fr.frequencies(df, cells), 5)).select(header.alias("col"), "value", "n")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -210,24 +221,28 @@ INFERRED = {t: SCHEMAS[t] for t in ("region", "customer", "part", "orders", "lin
 
 def infer_dtype(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The types of all columns of nine tables; row order by the scan."""
-    out = []
-    for name in INFERRED:
+
+    def one(name: str) -> list[tuple[str, str]]:
         df = table(spark, sf_dir, name).withColumn("__row", F.monotonically_increasing_id())
         cells = cells_of(df, columns=INFERRED[name].split())
         marked, got = measured(df, cells, "__row", numbers=False)
         types = infer_types(marked, cells, F.col("__row"), got)
-        out += [(f"{name}.{c.header}", types[c.index]) for c in cells]
-    return spark.createDataFrame(out, "col string, dtype string")
+        return [(f"{name}.{c.header}", types[c.index]) for c in cells]
+
+    out = at_once([lambda name=name: one(name) for name in INFERRED])
+    return spark.createDataFrame([x for xs in out for x in xs], "col string, dtype string")
 
 
 def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole profile of lineitem and orders: types, classes, counts and statistics."""
-    out = []
-    for name in ("lineitem", "orders"):
-        for c in profile(table(spark, sf_dir, name), Options(median="none")).columns:
-            r = lambda x: None if x is None else round(float(x), ROUND)
-            out.append((f"{name}.{c.header}", c.dtype, c.classification, c.non_missing, c.missing, c.n_distinct, len(c.values), r(c.min), r(c.max), r(c.mean), r(c.std_dev)))
-    return spark.createDataFrame(out, "col string, dtype string, classification string, non_missing bigint, missing bigint, n_distinct bigint, listed bigint, low double, high double, mean double, std_dev double")
+    """The whole profile of lineitem and orders: types, classes, counts and statistics, exact medians among them."""
+    r = lambda x: None if x is None else round(float(x), ROUND)
+
+    def one(name: str) -> list[tuple]:
+        columns = profile(table(spark, sf_dir, name), Options(median="exact")).columns
+        return [(f"{name}.{c.header}", c.dtype, c.classification, c.non_missing, c.missing, c.n_distinct, len(c.values), r(c.min), r(c.max), r(c.mean), r(c.std_dev), r(c.median)) for c in columns]
+
+    out = at_once([lambda name=name: one(name) for name in ("lineitem", "orders")])
+    return spark.createDataFrame([x for xs in out for x in xs], "col string, dtype string, classification string, non_missing bigint, missing bigint, n_distinct bigint, listed bigint, low double, high double, mean double, std_dev double, median double")
 
 
 def serial_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,9 +251,13 @@ def serial_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "orders").agg(F.min("o_orderdate").cast("string").alias("first"), F.max("o_orderdate").cast("string").alias("last")).select(F.lit("orders.o_orderdate").alias("col"), "*")
-    b = table(spark, sf_dir, "lineitem").agg(F.min("l_shipdate").cast("string").alias("first"), F.max("l_shipdate").cast("string").alias("last")).select(F.lit("lineitem.l_shipdate").alias("col"), "*")
-    return a.unionByName(b)
+    """The ranges of date columns in the stricter document; one whose name is risky shows none."""
+    out = []
+    for name, col, alias in (("orders", "o_orderdate", "o_orderdate"), ("lineitem", "l_shipdate", "l_shipdate"), ("orders", "o_orderdate", "birth")):
+        sheet, *_ = spec.spec_sheet(table(spark, sf_dir, name).select(F.col(col).alias(alias)), name, 0, spec.spec_options())
+        said = sheet["columns"][0]["range"]
+        out.append((f"{name}.{alias}", said.get("min"), said.get("max"), said.get("range_present")))
+    return spark.createDataFrame(out, "col string, first string, last string, present boolean")
 
 
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,14 +274,13 @@ def found_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def small_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether every value of a column occurs k times, and whether the table has k rows at all."""
-    out = None
+    out = []
     for name, col in (("orders", "o_orderstatus"), ("part", "p_brand"), ("nation", "n_regionkey"), ("region", "r_name")):
-        cells = table(spark, sf_dir, name).groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-        one = cells.agg(F.min("n").alias("least"), F.sum("n").alias("rows")).select(F.lit(f"{name}.{col}").alias("col"), "least", "rows", ((F.col("least") >= 20) & (F.col("rows") >= 20)).alias("may_list"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        least, rows = table(spark, sf_dir, name).groupBy(col).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n"), F.sum("n")).first()
+        out.append((f"{name}.{col}", least, rows, spec.small_cells((least,), rows, spec.K)))
+    return spark.createDataFrame(out, "col string, least bigint, rows bigint, reason string")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (flagship, bucket_counts, missing_counts, missing_tokens, number_predicates, date_predicates, phi_patterns, phi_urls, token_scan, name_detection, column_names, short_strings, frequencies, distinct_capped, k_anonymous_values, numeric_profile, median_exact, p2_median, index_to_label, recode_labels, recode_apply, infer_dtype, table_profile, serial_dates, date_range, category_counts, found_anywhere, small_cells)
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | round_trips.queries()
