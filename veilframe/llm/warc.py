@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, shuffle_partitions, written
+from ..shared import shared_dir
+from .common import shuffle_partitions, written
 
 LEAST = 100
 FILE_BYTES = 64 << 20
