@@ -124,27 +124,31 @@ class Cuts:
         return out
 
 
-def join_split(rows: DataFrame, by: str, table: DataFrame, key: str, n: str, many: int) -> DataFrame:
-    """rows with the columns of table (a row for each key, with the number n of its rows) where by is key, nulls too.
+def join_split(rows: DataFrame, by: str, table: DataFrame, key: str, n: str, many: int, nulls: bool = False) -> DataFrame:
+    """rows with the columns of table (a row for each key, with the number n of its rows) where by is key; with nulls, null is a key.
 
     Keys of more than `many` rows are broadcast; there are no more of these than `many` goes into the number of
     rows, and the caller chooses it so that this is a bounded number. Other rows, whose keys are evenly spread, meet by a shuffle.
     """
     slim = table.select(F.col(key).alias("__key"), F.col(n).alias("__n"), *[c for c in table.columns if c not in (key, n)])
     head = F.broadcast(slim.where(F.col("__n") > many))
-    rest = rows.join(head.select("__key"), rows[by].eqNullSafe(F.col("__key")), "left_anti")
-    both = [left.join(right, left[by].eqNullSafe(right["__key"])) for left, right in ((rows, head), (rest, slim))]
+    rest = rows.join(head.select("__key"), _same(rows[by], nulls), "left_anti")
+    both = [left.join(right, _same(left[by], nulls)) for left, right in ((rows, head), (rest, slim))]
     return both[0].unionByName(both[1]).drop("__key", "__n")
 
 
-def join_counted(rows: DataFrame, by: str, table: DataFrame, key: str, n: str, most: int) -> DataFrame:
+def _same(by: Column, nulls: bool) -> Column:
+    return by.eqNullSafe(F.col("__key")) if nulls else by == F.col("__key")
+
+
+def join_counted(rows: DataFrame, by: str, table: DataFrame, key: str, n: str, most: int, nulls: bool = False) -> DataFrame:
     """As join_split, in one pass over rows if the table has up to `most` keys: these are broadcast then."""
     few = table.limit(most + 1).collect()
     if len(few) <= most:
         cols = [c for c in table.columns if c not in (key, n)]
         head = rows.sparkSession.createDataFrame(few, table.schema).select(F.col(key).alias("__key"), *cols)
-        return rows.join(F.broadcast(head), rows[by].eqNullSafe(F.col("__key"))).drop("__key")
-    return join_split(rows, by, table, key, n, (table.agg(F.sum(n)).first()[0] or 0) // most)
+        return rows.join(F.broadcast(head), _same(rows[by], nulls)).drop("__key")
+    return join_split(rows, by, table, key, n, (table.agg(F.sum(n)).first()[0] or 0) // most, nulls)
 
 
 def free_name(taken: list[str], name: str) -> str:

@@ -155,7 +155,7 @@ def by_fingerprint(each: DataFrame) -> DataFrame:
     chain = own.select(F.lag("node").over(before).alias("a"), F.col("node").alias("b")).where("a is not null")
     reps = written(own.groupBy("fp").agg(F.min("node").alias("rep")), "jaccard-reps")
     side = lambda k: reps.select(F.col("fp").alias(k), F.col("rep").alias(f"rep_{k}"))
-    near = simhash.links(reps.select("fp")).join(side("a"), "a").join(side("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    near = simhash.links(reps.select("fp")).join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     return chain.unionByName(near).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -167,16 +167,16 @@ def links(each: DataFrame, texts, least: tuple[int, int] = SHARE, words: int = W
     top, bottom = least
     postings = each.where("size > 0").select("node", "size", "rare", F.explode("prefix").alias("s"))
     shared = written(postings.groupBy("s").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("s"), "jaccard-shared")
-    members = written(postings.join(shared, "s").distinct(), "jaccard-members")
+    members = written(postings.join(shared.hint("merge"), "s").distinct(), "jaccard-members")
 
     def joined(pairs: DataFrame, found: DataFrame, *cols: str) -> DataFrame:
         side = lambda end, k: found.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{k}") for c in cols])
-        return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+        return pairs.join(side("a", "x").hint("merge"), "a").join(side("b", "y").hint("merge"), "b")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         pairs = written(pairs.distinct(), f"jaccard-pairs-{name}")
-        maps = each.join(ends(pairs), "node", "left_semi").select("node", "size", "bits").dropDuplicates(["node"])
+        maps = each.join(ends(pairs).hint("merge"), "node", "left_semi").select("node", "size", "bits").dropDuplicates(["node"])
         close = apart_at_least("bits_x", "bits_y") * (top + bottom) <= (F.col("size_x") + F.col("size_y")) * (bottom - top)
         pairs = written(joined(pairs, maps, "size", "bits").where(close).select("a", "b"), f"jaccard-close-{name}")
         found = written(sets(texts(ends(pairs)), words), f"jaccard-sets-{name}")
@@ -188,14 +188,14 @@ def links(each: DataFrame, texts, least: tuple[int, int] = SHARE, words: int = W
     before = Window.partitionBy("s").orderBy("size", "node")
     chain = members.select("node", "size", F.lag(F.struct("node", "size")).over(before).alias("other"))
     middle = members.groupBy("s").agg(F.min(F.struct("rare", "node", "size")).alias("other"))
-    star = members.join(middle, "s").select("node", "size", F.struct("other.node", "other.size").alias("other"))
+    star = members.join(middle.hint("merge"), "s").select("node", "size", F.struct("other.node", "other.size").alias("other"))
     near = chain.unionByName(star).where(F.col("other.node") != F.col("node")).where(alike(F.col("size"), F.col("other.size")))
     first = verified(near.select(*ordered(F.col("node"), F.col("other.node"))).unionByName(by_fingerprint(each)), "first")
     roots = components(first)
-    rooted = members.join(roots, "node", "left").select("s", "node", "size", F.coalesce("root", "node").alias("root"))
+    rooted = members.join(roots.hint("merge"), "node", "left").select("s", "node", "size", F.coalesce("root", "node").alias("root"))
     split = rooted.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("s")
     folds = each.select("node", *[F.col("fold")[k].alias(f"f{k}") for k in range(FOLD)]).dropDuplicates(["node"])
-    apart = written(rooted.join(split, "s").join(folds, "node"), "jaccard-apart")
+    apart = written(rooted.join(split.hint("merge"), "s").join(folds.hint("merge"), "node"), "jaccard-apart")
     x, y = apart.alias("x"), apart.alias("y")
     differ = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x.f{k}").bitwiseXOR(F.col(f"y.f{k}"))) for k in range(FOLD)])
     on = (F.col("x.s") == F.col("y.s")) & (F.col("x.root") < F.col("y.root")) & alike(F.col("x.size"), F.col("y.size")) & (differ * (top + bottom) <= (F.col("x.size") + F.col("y.size")) * (bottom - top))
@@ -217,6 +217,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wo
         return keyed.join(rows, ["doc_id", "row"]).select("node", "text")
 
     roots = components(links(each, texts, least, words))
-    rows = each.select("doc_id", "row", "node").join(roots, "node", "left").select("doc_id", "row", F.coalesce("root", "node").alias("root"))
+    rows = each.select("doc_id", "row", "node").join(roots.hint("merge"), "node", "left").select("doc_id", "row", F.coalesce("root", "node").alias("root"))
     best = rows.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("best")).select("best.*")
     return kept_rows(docs, rows, best, id_col)

@@ -74,7 +74,7 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", tex
     table = table.select("source", "n", "parts", _distribution(F.col("rate") / F.col("parts")).alias("at_most"))
     # the row is kept in a struct, so that no name of docs can clash
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in seen]).alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.col(f"`{text_col}`"), F.lit("")).alias("ident"), F.col(f"`{source_col}`").alias("by"))
-    drawn = join_counted(rows, "by", table, "source", "n", MOST_SOURCES)
+    drawn = join_counted(rows, "by", table, "source", "n", MOST_SOURCES, nulls=True)
 
     def draw(j):
         u = _unit(F.concat(F.lit(f"{seed}:"), j.cast("string"), F.lit(":"), F.col("ident")))

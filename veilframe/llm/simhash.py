@@ -37,6 +37,8 @@ BATCH_BYTES = 4 << 20
 PIECE = 1 << 16
 MANY, MOST_HUBS = 1_000, 10_000
 """Keys of more than MANY rows, and of more than one row in MOST_HUBS, are joined by a broadcast of at most MOST_HUBS rows."""
+FEW_EDGES = 1_000_000
+"""One task can hold so many edges, whatever nodes they are of."""
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _LOW_BITS = 0x5555555555555555
@@ -131,22 +133,23 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node that each node of the edges (a, b) reaches, for nodes other than it.
 
     Alternates large and small stars until the edges stay the same; each round is
-    cut off in the shared checkpoint folder. Nodes with many edges, of which there can't be many, are broadcast.
+    cut off in the shared checkpoint folder. Of more than FEW_EDGES edges, nodes with many, of which there can't be many, are broadcast.
     """
 
     def state(e: DataFrame):
         return e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
+    # joins merge, as tables that are broadcast pass through the driver
     # from here on each edge goes from the larger node a to the smaller b
     edges = checkpoint(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     now = state(edges)
     while now[0]:
-        many = max(MANY, 2 * now[0] // MOST_HUBS)
+        lows = lambda e, low, n=now[0]: e.join(low.hint("merge"), F.col("a") == F.col("node")) if n <= FEW_EDGES else join_split(e, "a", low, "node", "n", 2 * n // MOST_HUBS)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("low"), F.count(F.lit(1)).alias("n"))
-        large = join_split(both.where("b > a"), "a", low, "node", "n", many).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = lows(both.where("b > a"), low).select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         low = large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low"), F.count(F.lit(1)).alias("n"))
-        small = join_split(large, "a", low, "node", "n", many)
+        small = lows(large, low)
         small = small.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select(F.col("node").alias("a"), F.col("low").alias("b")))
         edges = checkpoint(small.distinct())
         was, now = now, state(edges)
@@ -164,15 +167,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most
     """
     each = written(fingerprints(docs, id_col, text_col).select("doc_id", "fp"), "simhash-docs")
     prints = written(each.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "simhash-prints")
-    distinct, rows = prints.agg(F.count(F.lit(1)), F.sum("n")).first()
+    rows = prints.agg(F.sum("n")).first()[0] or 0
     roots = components(links(prints.select("fp"), most_in_cell))
     linked = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-    linked = linked.join(prints, F.col("node") == F.col("fp")).select("fp", "root", "rep")
-    least = linked.groupBy("root").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n"))
-    named = join_split(linked, "root", least, "root", "n", max(MANY, distinct // MOST_HUBS)).select(F.col("fp").alias("node"), "least")
-    table = prints.join(named, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("print"), F.coalesce("least", "rep").alias("component_id"), "n")
+    linked = linked.join(prints.hint("merge"), F.col("node") == F.col("fp")).select("fp", "root", "rep")
+    least = linked.groupBy("root").agg(F.min("rep").alias("least"))
+    named = linked.join(least.hint("merge"), "root").select(F.col("fp").alias("node"), "least")
+    table = written(prints.join(named.hint("merge"), F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("print"), F.coalesce("least", "rep").alias("component_id"), "n"), "simhash-named")
     # boilerplate's fingerprint may be that of a third of all documents
-    return join_split(each, "fp", table, "print", "n", max(MANY, (rows or 0) // MOST_HUBS)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return join_split(each, "fp", table, "print", "n", max(MANY, rows // MOST_HUBS)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
