@@ -1,8 +1,9 @@
 """License scan (DataFrame operations only).
 
 Phrases are counted where their words stand consecutively. Beyond them, an exact
-set-similarity join finds every text block (LINES consecutive lines) that
-contains at least SHARE of a template's words: words are ordered by how many
+set-similarity join finds every text block (LINES consecutive lines that have words) that
+contains at least SHARE of a template's words, or all of a template of fewer than WHOLE, as in
+a short notice each word tells licenses apart: words are ordered by how many
 lines of the whole corpus have them, rarest first; a block and a template that
 overlap enough must share a word within both prefixes (prefix filter), the block
 must be long enough (length filter), and what remains after the shared word must
@@ -43,6 +44,7 @@ TEMPLATES = {
 
 LINES = 4
 SHARE = 0.8
+WHOLE = 10
 
 #: What parts words. Texts are not lower-cased as a whole: letters other than A-Z must stay.
 _OUT = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
@@ -51,8 +53,8 @@ _OUT_CHARS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 _LINE, _OTHER, _KELVIN = "\ue000", "\ue001", "\u212a"
 
 
-def least_overlap(n: int, share: float) -> int:
-    return math.ceil(share * n - 1e-9)
+def least_overlap(n: int, share: float, whole: int = WHOLE) -> int:
+    return n if n < whole else math.ceil(share * n - 1e-9)
 
 
 def places_of(words: Column, phrases) -> Column:
@@ -78,15 +80,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     score is 1 with a phrase, else the largest share of a template that a matching block has,
     else 0. A null text has no words; repeated rows each get a row; no rows give no rows.
 
-    Each text is split into words once, with a mark for each line end. Only words of templates and
+    Each text is split into words once, with a mark for each line end, of which one stays between lines that have words. Only words of templates and
     phrases go on from there; texts in which these leave a phrase possible are looked at for its places.
     """
     vocab = sorted({w for t in [*templates, *phrases] for w in t.split()})
     text = F.replace(F.replace(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(_KELVIN), F.lit(_OTHER)), F.lit(_LINE), F.lit(_OTHER))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.btrim(text, F.lit(_OUT_CHARS)).alias("t"))
     rows = rows.withColumn("w", F.split(F.replace("t", F.lit("\n"), F.lit(f" {_LINE} ")), f"{_OUT}+", -1))
-    rows = rows.select("doc_id", "t", F.size("w").alias("size"), F.transform(F.filter("w", lambda x: F.lower(x).isin(_LINE, *vocab)), F.lower).alias("known"))
-    rows = rows.select("doc_id", "t", "size", F.array_join("known", " ").alias("known"), (F.size("known") - F.size(F.array_remove("known", _LINE))).alias("ends"), F.array_join(F.array_remove("known", _LINE), " ").alias("run"))
+    rows = rows.select("doc_id", "t", F.size("w").alias("size"), F.transform(F.filter("w", lambda x, i: F.lower(x).isin(*vocab) | (x == _LINE) & (F.get("w", i - 1) != _LINE)), F.lower).alias("known"))
+    ends = F.octet_length("t") - F.octet_length(F.replace("t", F.lit("\n"), F.lit("")))
+    rows = rows.select("doc_id", "t", "size", F.array_join("known", " ").alias("known"), ends.alias("ends"), F.array_join(F.array_remove("known", _LINE), " ").alias("run"))
     possible = F.lit(False)
     for p in phrases:
         possible = possible | F.contains(F.concat(F.lit(" "), "run", F.lit(" ")), F.lit(f" {p} "))

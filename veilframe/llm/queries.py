@@ -111,8 +111,8 @@ d AS (SELECT doc_id, regexp_extract_all({lower}, '{word}') AS w, string_split(co
 places AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
 hits AS (SELECT doc_id, i - 1 AS pos, label FROM places, phrases WHERE w[i] = split_part(p, ' ', 1) AND array_to_string(list_slice(w, i, i + n - 1), ' ') = p),
 base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels, list(DISTINCT label) AS base_list FROM hits GROUP BY doc_id),
-blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(array_to_string(list_slice(lines, k, k + {licenses.LINES - 1}), chr(10))), '{word}')) AS b FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS k FROM d)),
-matched AS (SELECT doc_id, label, len(list_intersect(own, b)) AS n, len(own) AS size FROM blocks, templates WHERE len(list_intersect(own, b)) >= ceil({licenses.SHARE} * len(own) - 1e-9)),
+blocks AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(array_to_string(list_slice(lines, k, k + {licenses.LINES - 1}), chr(10))), '{word}')) AS b FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS k FROM (SELECT doc_id, list_filter(lines, lambda x: regexp_matches(x, '{word}')) AS lines FROM d))),
+matched AS (SELECT doc_id, label, len(list_intersect(own, b)) AS n, len(own) AS size FROM blocks, templates WHERE len(list_intersect(own, b)) >= CASE WHEN len(own) < {licenses.WHOLE} THEN len(own) ELSE ceil({licenses.SHARE} * len(own) - 1e-9) END),
 best AS (SELECT doc_id, list(DISTINCT label) AS more, max(n / size) AS best FROM matched GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base_list, []), coalesce(more, [])))), ',') AS labels,
