@@ -17,7 +17,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each component of texts that share four fifths of their five-word shingles."""
+    """Keeps the document with the smallest id of each component of near copies: SimHash over five-word shingles finds them by segment
+    popcounts, the shingles themselves decide (a Jaccard similarity of 0.8 or more), and a join on these finds what fingerprints miss."""
     return jaccard.keep_one(docs)
 
 
@@ -32,13 +33,13 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts every copy into one of eight shards of near equal size."""
-    return sharding.assign(docs, carry=("lang", "source"))
+    """Puts every copy into one of eight shards of near equal size, cut from the texts in a seeded random order, so that each shard has the mixture."""
+    return sharding.assign(docs, carry=("lang", "source"), order_seed=mixing.SEED)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]
 
-#: SQL can express neither the classifier nor the fingerprints; the tests compare with brute force.
+#: SQL can express neither the classifier nor the fingerprints and CRC-32; the tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
