@@ -139,7 +139,9 @@ f{k} AS (SELECT doc_id, t, kind, start, start + length(s) AS stop, s FROM s{k} W
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),{",".join(ctes)},
 base AS ({base}),
-apart AS (SELECT DISTINCT doc_id, start, stop, s FROM f{last} c WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.start < c.stop AND c.start < b.stop)),
+points AS (SELECT doc_id, start AS low, stop AS high, s, start AS p FROM f{last} UNION SELECT c.doc_id, c.start, c.stop, c.s, b.stop FROM f{last} c JOIN base b ON b.doc_id = c.doc_id AND b.start < c.stop AND c.start < b.stop AND b.stop < c.stop),
+pieces AS (SELECT a.doc_id, a.low, a.s, a.p, least(a.high, coalesce(min(b.start), a.high)) AS stop FROM (SELECT * FROM points a WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = a.doc_id AND b.start <= a.p AND a.p < b.stop)) a LEFT JOIN base b ON b.doc_id = a.doc_id AND b.start >= a.p GROUP BY a.doc_id, a.low, a.high, a.s, a.p),
+apart AS (SELECT DISTINCT doc_id, p AS start, stop, substr(s, (p - low + 1)::BIGINT, (stop - p)::BIGINT) AS s FROM pieces WHERE stop - p >= {w}),
 unlike AS (SELECT * FROM apart WHERE NOT (regexp_full_match(s, '([A-Za-z]?[a-z]*|[A-Z]+|[0-9]+)([-_/+=]([A-Za-z]?[a-z]*|[A-Z]+|[0-9]+))*') OR regexp_full_match(s, '[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}') OR replace(s, left(s, 1), '') = '')),
 win AS (SELECT doc_id, start, stop, s, i, substr(s, i, {w}) AS v FROM (SELECT *, unnest(range(1, length(s) - {w - 2})) AS i FROM unlike)),
 sums AS (SELECT doc_id, start, stop, s, i, sum({terms}[n + 1]) AS total FROM (SELECT doc_id, start, stop, s, i, c, count(*) AS n FROM (SELECT *, unnest(string_split(v, '')) AS c FROM win) GROUP BY ALL) GROUP BY ALL),

@@ -77,16 +77,29 @@ def find(text: Column, pattern: str, kind: int, group: int, least: int) -> Colum
     return F.when(text.rlike(pattern), _with(each, place)).otherwise(F.array()).cast(f"array<{_SPAN}>")
 
 
-def apart(seen: Column, base: Column, kind: int) -> Column:
-    """The spans of seen (all of that kind, which base has none of) that meet no span of base: one sort, then a pass each way."""
+def apart(seen: Column, base: Column, kind: int, window: int) -> Column:
+    """What is left of the spans of seen (all of that kind, which base has none of) without the spans of base, in pieces of window or more.
+
+    One sort, then a pass each way. A piece begins where a span of seen does, or where one of base ends, at
+    the end of all of base so far; it ends with the span of seen, or where base goes on.
+    """
 
     def split(every):
         reach = scanned(every, 0, lambda s, e: F.when(e["kind"] == kind, s).otherwise(F.greatest(s, e["stop"])))
+        at = scanned(every, 0, lambda s, e: F.when(e["kind"] == kind, s + 1).otherwise(s))
         ahead = F.reverse(scanned(F.reverse(every), 2**31 - 1, lambda s, e: F.when(e["kind"] == kind, s).otherwise(e["start"])))
-        free = lambda y: (y["e"]["kind"] == kind) & (y["reach"] <= y["e"]["start"]) & (y["ahead"] >= y["e"]["stop"])
-        return F.transform(F.filter(F.arrays_zip(every.alias("e"), reach.alias("reach"), ahead.alias("ahead")), free), lambda y: y["e"])
+        # the next span of base after each; a span's own start is not ahead of it
+        after = F.concat(F.slice(ahead, 2, F.size(ahead)), F.array(F.lit(2**31 - 1)))
+
+        def piece(y):
+            e, c = y["e"], F.get(seen, y["at"] - 1)
+            start = F.when(e["kind"] == kind, F.greatest(e["start"], y["reach"])).otherwise(y["reach"])
+            stop = F.least(c["stop"], y["after"])
+            return _with(F.struct(start.alias("start"), stop.alias("stop"), c.alias("c")), lambda p: F.when(p["c"].isNotNull() & (p["stop"] - p["start"] >= window), F.struct(p["start"].alias("start"), F.lit(kind).alias("kind"), p["stop"].alias("stop"), F.substring(p["c"]["match"], p["start"] - p["c"]["start"] + 1, p["stop"] - p["start"]).alias("match"))))
+
+        return F.filter(F.transform(F.arrays_zip(every.alias("e"), reach.alias("reach"), at.alias("at"), after.alias("after")), piece), lambda x: x.isNotNull())
 
-    return F.when((F.size(seen) == 0) | (F.size(base) == 0), seen).otherwise(_with(F.sort_array(F.concat(base, seen)), split))
+    return F.when((F.size(seen) == 0) | (F.size(base) == 0), seen).otherwise(_with(F.sort_array(F.concat(base, seen)), split)).cast(f"array<{_SPAN}>")
 
 
 def _term(n: int) -> int:
@@ -153,14 +166,14 @@ def suspicious(string: Column, window: int = WINDOW) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row; spans are kind:start:end, the fourth kind is entropy.
 
-    Entropy spans that meet a span of the other kinds are not repeated. A null text
+    Of a candidate that spans of the other kinds meet, what is left is judged, in pieces as long as a window at least. A null text
     counts as empty; repeated rows each get a row; no rows give no rows.
     """
     names = F.lit([*(k for k, *_ in KINDS), "entropy"])
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
     last = len(KINDS)
     rows = rows.withColumns({f"k{k}": find(F.col("t"), LONG_ONLY.get(name, pattern), k, group, least) for k, (name, pattern, group, least) in enumerate(KINDS)} | {"seen": find(F.col("t"), CANDIDATE % window, last, 0, window)})
-    rows = rows.withColumn("base", F.sort_array(F.concat(*[f"k{k}" for k in range(last)]))).withColumn("apart", apart(F.col("seen"), F.col("base"), last))
+    rows = rows.withColumn("base", F.sort_array(F.concat(*[f"k{k}" for k in range(last)]))).withColumn("apart", apart(F.col("seen"), F.col("base"), last, window))
     base, more = F.col("base"), F.filter("apart", lambda c: suspicious(c["match"], window))
     say = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
     counts = [F.size(f"k{k}").cast("long").alias(f"n_{name}") for k, (name, *_) in enumerate(KINDS)]
