@@ -229,7 +229,7 @@ def infer_dtype(spark: SparkSession, sf_dir: str) -> DataFrame:
         types = infer_types(marked, cells, F.col("__row"), got)
         return [(f"{name}.{c.header}", types[c.index]) for c in cells]
 
-    out = at_once([lambda name=name: one(name) for name in INFERRED])
+    out = at_once(spark, [lambda name=name: one(name) for name in INFERRED])
     return spark.createDataFrame([x for xs in out for x in xs], "col string, dtype string")
 
 
@@ -241,7 +241,7 @@ def table_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
         columns = profile(table(spark, sf_dir, name), Options(median="exact")).columns
         return [(f"{name}.{c.header}", c.dtype, c.classification, c.non_missing, c.missing, c.n_distinct, len(c.values), r(c.min), r(c.max), r(c.mean), r(c.std_dev), r(c.median)) for c in columns]
 
-    out = at_once([lambda name=name: one(name) for name in ("lineitem", "orders")])
+    out = at_once(spark, [lambda name=name: one(name) for name in ("lineitem", "orders")])
     return spark.createDataFrame([x for xs in out for x in xs], "col string, dtype string, classification string, non_missing bigint, missing bigint, n_distinct bigint, listed bigint, low double, high double, mean double, std_dev double, median double")
 
 
