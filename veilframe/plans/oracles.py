@@ -235,7 +235,7 @@ UNION ALL SELECT 'Rows', 4, 'date', 'safe', n::VARCHAR, '0' FROM a
 UNION ALL SELECT 'Rows', 5, 'string', 'safe', '0', noted::VARCHAR FROM a
 UNION ALL SELECT 'Rows', NULL, NULL, NULL, n::VARCHAR, NULL FROM a
 UNION ALL SELECT 'Empty', NULL, NULL, NULL, '0', NULL FROM a""",
-        "formats": f"SELECT v AS path, CASE WHEN regexp_matches(lower(v), '\.csv$') THEN 'csv' WHEN regexp_matches(lower(v), '\.(tsv|tab)$') THEN 'tsv' ELSE 'excel' END AS format FROM (VALUES {parts}) AS c(i, v)",
+        "formats": rf"SELECT v AS path, CASE WHEN regexp_matches(lower(v), '\.csv$') THEN 'csv' WHEN regexp_matches(lower(v), '\.(tsv|tab)$') THEN 'tsv' ELSE 'excel' END AS format FROM (VALUES {parts}) AS c(i, v)",
         "file_digest": "SELECT how, sha256('r_regionkey,r_name' || chr(10) || string_agg(r_regionkey || ',' || r_name || chr(10), '' ORDER BY r_regionkey)) AS digest FROM region, (VALUES ('here'), ('store')) AS h(how) GROUP BY how",
         "manifest_columns": _manifest_columns(),
         "recode_key": f"SELECT label, value, true AS listed FROM ({sites})",
