@@ -10,11 +10,11 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe import InvalidInputError, Options, UnsupportedFormatError
+from veilframe import InvalidInputError, Options, UnsupportedFormatError, cli
 from veilframe.functions import columns, phi
 from veilframe.functions import scalars as s
-from veilframe.operators import infer
-from veilframe.operators.p2 import p2_quantile
+from veilframe.operators import infer, recode
+from veilframe.operators.p2 import p2_by_column, p2_quantile
 from veilframe.plans import manifest as mf
 from veilframe.plans import spec
 from veilframe.plans.profile import as_frame, profile
@@ -142,6 +142,72 @@ def test_tsv_empty_and_errors(spark, tmp_path):
     assert sha256_of(write(tmp_path / "c", "test content")) == hashlib.sha256(b"test content").hexdigest()
 
 
+def test_text_of_any_path(spark, tmp_path):
+    for k in range(3):
+        write(tmp_path / f"part{k}.csv", f"id,note\n{k},\"a\n{k}\"\n")
+    path = f"file://{tmp_path}/part*.csv"
+    got = scan(spark, path, Options(bucket_counts=False))
+    assert got.tables[0].rows == 3 and "file_hash" not in got.manifest
+    one = scan(spark, f"file://{tmp_path}/part1.csv")
+    assert one.manifest["file_hash"] == sha256_of(tmp_path / "part1.csv") == sha256_of(f"file://{tmp_path}/part1.csv", spark=spark)
+    (tmp_path / "bad.csv").write_bytes(b"a,b\n" + b"1,x\n" * 9000 + b"2,\xff\xfe\n")
+    for f in (scan, spec.spec_scan):
+        with pytest.raises(InvalidInputError, match="UTF-8"):
+            f(spark, str(tmp_path / "bad.csv"))
+    write(tmp_path / "good.csv", "a,b\n1,\ufffd\n")  # the character itself is no error
+    assert scan(spark, str(tmp_path / "good.csv")).tables[0].rows == 1
+
+
+def test_no_column_name_is_reserved(spark):
+    df = spark.createDataFrame([(i, f"v{i % 2}", "x") for i in range(20)], "row long, value string, `__row` string")
+    assert [(c.header, c.dtype) for c in profile(df, Options(median="p2")).columns] == [("row", "integer"), ("value", "string"), ("__row", "string")]
+    labels = spark.createDataFrame([("v0", "Site_A")], "value string, label string")
+    got = recode.apply(df.withColumnRenamed("__row", "label"), "value", labels)
+    assert got.columns == ["row", "value", "label"] and {r["value"] for r in got.collect()} == {"Site_A", "v1"} and got.count() == 20
+
+
+def test_values_in_the_shape_of_a_name_are_withheld(spark):
+    df = spark.createDataFrame([(v,) for v in ["Kim Novak"] * 30 + ["Arm B"] * 30 + ["low dose"] * 30 + ["João Silva"] * 30], "who string")
+    assert profile(df).columns[0].values == ["Arm B", "low dose"]
+    lists = phi.NameLists.of(["novak"], ["ana"])
+    assert not lists.by_shape and profile(df, names=lists).columns[0].values == ["Arm B", "João Silva", "low dose"]
+    names = phi.NameLists.of()
+    for v in ("Kim Novak", "Ana M. Prado", "Zoé O'Neil-Berg", "Anna Lena Maier"):
+        assert names.likely(v), v
+    for v in ("Not applicable", "TYPE One", "Week 12", "A B", "one two", "Ab Cd Ef Gh"):
+        assert not names.likely(v), v
+
+
+def test_p2_by_column_streams_rows_in_order(spark):
+    rng = random.Random(3)
+    rows = [(k, i, None if i % 7 == 0 else rng.random() * (k + 1)) for k in range(5) for i in range(400 * k + 3)]
+    df = spark.createDataFrame(rows, "col_idx int, row_idx long, num double").repartition(4)
+    got = {r["col_idx"]: r["p2"] for r in p2_by_column(df).collect()}
+    assert got == {k: p2_quantile(x for c, _, x in sorted(rows, key=lambda r: r[:2]) if c == k and x is not None) for k in range(5)}
+
+
+def test_specification_of_an_empty_file_and_its_medians(spark, tmp_path):
+    doc = spec.spec_scan(spark, write(tmp_path / "none.csv", ""))
+    assert doc["sheets"] == [{"sheet_name": "none.csv", "sheet_index": 0, "total_rows": "0", "total_columns": 0, "columns": []}]
+    values = [random.Random(k).random() * 100 for k in range(300)]
+    path = write(tmp_path / "x.csv", "x\n" + "\n".join(map(str, values)) + "\n")
+    for options, median, method in ((spec.spec_options(), p2_quantile(values), "p2_approx"), (spec.spec_options(relaxed=True), statistics.median(values), "exact")):
+        doc = spec.spec_scan(spark, path, options)
+        said = doc["sheets"][0]["columns"][0]["stats"]
+        assert said["median"] == pytest.approx(median) and said["median_method"] == doc["privacy"]["median_method"] == method
+
+
+def test_command_line(spark, tmp_path, capsys):
+    path = write(tmp_path / "t.csv", "site,arm\n" + "\n".join(f"S{i % 3},{'ab'[i % 2]}" for i in range(30)) + "\n")
+    assert cli.main(["scan", "-i", path, "--surnames", path]) == 2 and "together" in capsys.readouterr().err
+    assert cli.main(["scan", "-i", path, "--spec"]) == 0
+    assert json.loads(capsys.readouterr().out)["privacy"]["k"] == 20
+    assert cli.main(["scan", "-i", path, "-o", str(tmp_path / "out.json"), "--no-recode-key"]) == 0 and not (tmp_path / "t.recode.txt").exists()
+    assert json.loads((tmp_path / "out.json").read_text())["options"]["k_anonymity"] == 5
+    assert cli.main(["scan", "-i", path]) == 0 and "Site_A = S0" in (tmp_path / "t.recode.txt").read_text()
+    assert cli.main(["scan", "-i", "x.dta"]) == 1
+
+
 def workbook(path):
     cells = '<row r="2"><c r="B2" t="s"><v>0</v></c><c r="C2" t="inlineStr"><is><t>day</t></is></c><c r="D2" t="str"><v>flag</v></c></row><row r="3"><c r="B3"><v>1</v></c><c r="C3" s="1"><v>44927.7</v></c><c r="D3" t="b"><v>1</v></c></row><row r="5"><c r="B5"><v>2.5</v></c><c r="D5" t="e"><v>#N/A</v></c></row>'
     with zipfile.ZipFile(path, "w") as z:

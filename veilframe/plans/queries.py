@@ -14,10 +14,11 @@ from ..operators import frequencies as fr
 from ..operators import recode
 from ..operators.cells import cells_of, long_form
 from ..operators.infer import infer_types
+from ..operators.jobs import at_once
 from ..operators.p2 import p2_by_column
 from ..options import Options
 from . import round_trips, spec
-from .profile import at_once, measured, profile
+from .profile import measured, profile
 
 SCHEMAS = {
     "region": "r_regionkey r_name",
@@ -153,14 +154,16 @@ def frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def distinct_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct values of all columns of lineitem, orders and part; null beyond the cap."""
-    out = []
-    for name in ("lineitem", "orders", "part"):
+
+    def one(name: str) -> list[tuple]:
         df = table(spark, sf_dir, name)
         cells = cells_of(df)
         high = fr.proven_high(df, cells, 2000)
         todo = [c for c in cells if c.index not in high]
         found = {r["col_idx"]: r["n_distinct"] for r in fr.distinct_counts(fr.frequencies(df, todo)).collect()} if todo else {}
-        out += [(f"{name}.{c.header}", n if (n := found.get(c.index, 0)) <= 2000 and c.index not in high else None, c.index in high or n > 2000) for c in cells]
+        return [(f"{name}.{c.header}", n if (n := found.get(c.index, 0)) <= 2000 and c.index not in high else None, c.index in high or n > 2000) for c in cells]
+
+    out = [x for xs in at_once(spark, [lambda name=name: one(name) for name in ("lineitem", "orders", "part")]) for x in xs]
     return spark.createDataFrame([(c, n, h, "suppressed" if h else s.bucket_name(n)) for c, n, h in out], "col string, n_distinct bigint, high boolean, said string")
 
 

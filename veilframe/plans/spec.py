@@ -20,9 +20,10 @@ from ..functions.columns import check_name
 from ..functions.phi import NameLists
 from ..functions.scalars import bucket_name
 from ..operators import frequencies as fr
-from ..operators.cells import cells_of, free_name, long_form
+from ..operators.cells import Cell, cells_of, free_name, long_form
+from ..operators.jobs import WIDE, at_once, in_parts
 from ..options import Options
-from .profile import medians_of, profile
+from .profile import WIDE_TEXT, medians_of, profile
 
 CATEGORIES = 10
 K = 20
@@ -104,16 +105,24 @@ def spec_sheet(df: DataFrame, name: str, index: int, options: Options, names: Na
     method = "exact" if options.median_method == "exact" and base.rows <= EXACT_MEDIAN_ROWS else "p2_approx"
     place = free_name(df.columns, "row")
     medians = medians_of(df.withColumn(place, F.monotonically_increasing_id()), [c for c in cells if c.number is not None], F.col(place), replace(options, median="exact" if method == "exact" else "p2", exact_median=False))
-    aggs = []
-    for c in cells:
-        t, own = s.trim(c.text), c.filled
-        aggs += [F.avg(F.when(own, (~_rule(c.numeric)).cast("int"))).alias(f"bad_{c.index}"), F.avg(F.when(own, F.length(c.text))).alias(f"size_{c.index}")]
-        aggs += [F.min(F.when(own, s.parse_date(t))).alias(f"d0_{c.index}"), F.max(F.when(own, s.parse_date(t))).alias(f"d1_{c.index}")]
-        stamp = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(t, "T", " "), "Z$", ""))
-        aggs += [F.min(F.when(own & _rule(c.datetime), stamp)).alias(f"t0_{c.index}"), F.max(F.when(own & _rule(c.datetime), stamp)).alias(f"t1_{c.index}")]
-        x = F.when(own, c.number if c.number is not None else F.lit(None).cast("double"))
-        aggs += [F.bool_and(F.when(own, F.coalesce(x.between(1, 2958465) & (x == F.floor(x)), F.lit(False)))).alias(f"serial_{c.index}")]
-    got = df.agg(*aggs).first()
+
+    def facts(c: Cell) -> list:
+        """Only what the types of cells leave open: dates and serials have no part in most columns."""
+        t, own, k = s.trim(c.text), c.filled, c.index
+        out = [F.avg(F.when(own, (~_rule(c.numeric)).cast("int"))).alias(f"bad_{k}"), F.avg(F.when(own, F.length(c.text))).alias(f"size_{k}")]
+        if base.columns[k].dtype == "date":
+            out += [F.min(F.when(own, s.parse_date(t))).alias(f"d0_{k}"), F.max(F.when(own, s.parse_date(t))).alias(f"d1_{k}")]
+        if base.columns[k].dtype == "datetime":
+            stamp = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(t, "T", " "), "Z$", ""))
+            out += [F.min(F.when(own & _rule(c.datetime), stamp)).alias(f"t0_{k}"), F.max(F.when(own & _rule(c.datetime), stamp)).alias(f"t1_{k}")]
+        if workbook:
+            x = F.when(own, c.number if c.number is not None else F.lit(None).cast("double"))
+            out.append(F.bool_and(F.when(own, F.coalesce(x.between(1, 2958465) & (x == F.floor(x)), F.lit(False)))).alias(f"serial_{k}"))
+        return out
+
+    got: dict = {}
+    for found in at_once(df.sparkSession, [lambda some=some: df.agg(F.count(F.lit(1)), *[f for c in some for f in facts(c)]).first().asDict() for some in in_parts(cells, kwargs.get("wide", WIDE))]):
+        got |= found
     few = [c for c in cells if (n := base.columns[c.index].n_distinct) is not None and n <= CATEGORIES]
     lists: dict[int, list[tuple[str, int]]] = {}
     if few:
@@ -203,13 +212,13 @@ def spec_scan(spark: SparkSession, path: str, options: Options | None = None, na
         for i, (name, _) in enumerate(book.sheets):
             header, _ = book.shape(i)
             n = len(header)
-            sheets.append(spec_sheet(read_sheet(spark, path, i), name, i, options, names, header, True, numbers={f"c{k}": f"n{k}" for k in range(n)}, columns=[f"c{k}" for k in range(n)]) if header else empty_sheet(name, i, options))
+            sheets.append(spec_sheet(read_sheet(spark, path, i), name, i, options, names, header, True, numbers={f"c{k}": f"n{k}" for k in range(n)}, columns=[f"c{k}" for k in range(n)], wide=WIDE_TEXT) if header else empty_sheet(name, i, options))
     else:
         from ..sources.text import RAW, check_utf8, read_text
 
         check_utf8(spark, path)
         df, header, present = read_text(spark, path, "\t" if kind == "tsv" else ",")
-        sheets.append(spec_sheet(df, Path(path).name, 0, options, names, header, present=present, columns=[c for c in df.columns if c != RAW]) if header else empty_sheet(Path(path).name, 0, options))
+        sheets.append(spec_sheet(df, Path(path).name, 0, options, names, header, present=present, columns=[c for c in df.columns if c != RAW], wide=WIDE_TEXT) if header else empty_sheet(Path(path).name, 0, options))
     return document(Path(path).name, kind, sheets, options, sha256_of(path, spark=spark) if options.hash_file else None)
 
 
