@@ -5,7 +5,7 @@ what that finds is verified on the shingles themselves. 64 bits can't find all:
 at a similarity of four fifths two fingerprints differ in about ten bits, among
 which a grid finds nothing. So a set-similarity join completes it. Shingles stand in one order for all texts, those that are
 frequent in a sample last. Two sets that share SHARE of their union share a
-shingle within the prefixes that the bound leaves, so a join on these finds every
+shingle within the prefixes that the bound leaves, and one from which on enough is left of both, so a join on these finds every
 pair. Equal sets are one node before that. Each set has a bitmap of the parity of its
 shingles in two to four bits a shingle; two bitmaps never differ in more places than
 the sets do, so candidates that differ in too many are dropped. Only for the few that
@@ -43,7 +43,7 @@ SAMPLE = 20_000
 OFTEN = 8
 """A shingle that so many texts of the sample have is frequent; at most MOST_FREQUENT are listed."""
 MOST_FREQUENT = 100_000
-FOLD = 8
+FOLD = 16
 """Words of 64 bits of the small bitmap by which texts are compared within the join."""
 
 
@@ -165,7 +165,7 @@ def links(each: DataFrame, texts, least: tuple[int, int] = SHARE, words: int = W
     texts(needed) gives node and text of the nodes needed, again for repeated rows.
     """
     top, bottom = least
-    postings = each.where("size > 0").select("node", "size", "rare", F.explode("prefix").alias("s"))
+    postings = each.where("size > 0").select("node", "size", "rare", F.posexplode("prefix").alias("at", "s"))
     shared = written(postings.groupBy("s").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("s"), "jaccard-shared")
     members = written(postings.join(shared.hint("merge"), "s").distinct(), "jaccard-members")
 
@@ -192,13 +192,16 @@ def links(each: DataFrame, texts, least: tuple[int, int] = SHARE, words: int = W
     near = chain.unionByName(star).where(F.col("other.node") != F.col("node")).where(alike(F.col("size"), F.col("other.size")))
     first = verified(near.select(*ordered(F.col("node"), F.col("other.node"))).unionByName(by_fingerprint(each)), "first")
     roots = components(first)
-    rooted = members.join(roots.hint("merge"), "node", "left").select("s", "node", "size", F.coalesce("root", "node").alias("root"))
+    rooted = members.join(roots.hint("merge"), "node", "left").select("s", "at", "node", "size", F.coalesce("root", "node").alias("root"))
     split = rooted.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("s")
     folds = each.select("node", *[F.col("fold")[k].alias(f"f{k}") for k in range(FOLD)]).dropDuplicates(["node"])
     apart = written(rooted.join(split.hint("merge"), "s").join(folds.hint("merge"), "node"), "jaccard-apart")
     x, y = apart.alias("x"), apart.alias("y")
     differ = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x.f{k}").bitwiseXOR(F.col(f"y.f{k}"))) for k in range(FOLD)])
-    on = (F.col("x.s") == F.col("y.s")) & (F.col("x.root") < F.col("y.root")) & alike(F.col("x.size"), F.col("y.size")) & (differ * (top + bottom) <= (F.col("x.size") + F.col("y.size")) * (bottom - top))
+    sizes = F.col("x.size") + F.col("y.size")
+    # at the first shingle that two sets share, what comes from there on must suffice
+    enough = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) * (top + bottom) >= sizes * top
+    on = (F.col("x.s") == F.col("y.s")) & (F.col("x.root") < F.col("y.root")) & alike(F.col("x.size"), F.col("y.size")) & enough & (differ * (top + bottom) <= sizes * (bottom - top))
     rest = x.join(y, on).select(*ordered(F.col("x.node"), F.col("y.node")))
     return first.unionByName(verified(rest, "rest"))
 
