@@ -169,6 +169,14 @@ def test_a_hot_fingerprint_is_joined_by_broadcast(spark, many, monkeypatch):
     assert got == brute_components({i: brute_simhash(t) for i, t in rows})
 
 
+def test_components_with_a_hub_that_is_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "FEW_EDGES", 0)
+    monkeypatch.setattr(simhash, "MOST_HUBS", 20)
+    edges = [(1000, i) for i in range(2000, 2300)] + [(i, i + 1) for i in range(5, 40)] + [(40, 2100), (3000, 3001)]
+    got = {r["node"]: r["root"] for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 5 for i in range(6, 41)}, 1000: 5, **{i: 5 for i in range(2000, 2300)}, 3001: 3000}
+
+
 def test_simhash_of_odd_rows(spark):
     schema = "doc_id long, text string"
     assert simhash.groups(spark.createDataFrame([], schema)).count() == 0

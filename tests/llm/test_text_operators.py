@@ -62,6 +62,11 @@ def test_decontamination_is_brute_force(spark, passages):
         assert got == {k: v[:4] for k, v in want.items()}
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontam.report(df, bench).collect()}
     assert got == want
+    left = {r["doc_id"]: r["text"] for r in decontam.cut(df, bench).collect()}
+    found = {r["doc_id"]: [tuple(map(int, x.split(":"))) for x in r["spans"]] for r in decontam.report(df, bench).collect()}
+    for doc, text in docs:
+        hit = {k for a, b in found[doc] for k in range(a, b)}
+        assert words(left[doc]) == [w for k, w in enumerate(words(text)) if k not in hit] and (bool(hit) or left[doc] == text)
     kept = decontam.drop_contaminated(df, bench)
     assert kept.columns == df.columns
     assert {r["doc_id"] for r in kept.collect()} == {k for k, v in want.items() if not v[4]}

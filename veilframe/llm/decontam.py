@@ -14,6 +14,7 @@ comparing suffixes ends at the first one.
 from __future__ import annotations
 
 import hashlib
+import re
 from itertools import repeat
 
 import numpy as np
@@ -33,6 +34,9 @@ SAMPLE = 8
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """Lower-cases A-Z and takes [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of UTF-8 text; null has none."""
     return text.translate(_KEEP).split() if text else []
@@ -316,5 +320,30 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     return out.where(~contaminated(names, share)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without the words of the spans and what stands between these."""
+    places, out, last = [m.span() for m in _WORD.finditer(text)], [], 0
+    for start, end in spans:
+        out.append(text[last : places[start][0]])
+        last = places[end - 1][1]
+    return b"".join([*out, text[last:]])
+
+
+def cut(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+    """docs with the merged spans of hit words removed from their texts, columns unchanged. For corpora that would rather lose passages than documents."""
+    out, names = annotate(docs, benchmark, text_col=text_col, window=window)
+    at, spans, columns = docs.columns.index(text_col), out.columns.index(names["spans"]), docs.columns
+
+    def run(batches):
+        for b in batches:
+            texts = zip(b.column(at).cast(pa.binary()).to_pylist(), b.column(spans).to_pylist(), strict=True)
+            new = [t if not s else without(t, [(x["start"], x["end"]) for x in s]) for t, s in texts]
+            own = list(b.columns[: len(columns)])
+            own[at] = pa.array(new, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(own, names=columns)
+
+    return map_arrow(out, run, docs.schema)
+
+
 def items_digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
