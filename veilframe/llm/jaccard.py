@@ -192,7 +192,7 @@ def links(each: DataFrame, texts, least: tuple[int, int] = SHARE, words: int = W
     near = chain.unionByName(star).where(F.col("other.node") != F.col("node")).where(alike(F.col("size"), F.col("other.size")))
     first = verified(near.select(*ordered(F.col("node"), F.col("other.node"))).unionByName(by_fingerprint(each)), "first")
     roots = components(first)
-    rooted = members.join(roots.hint("merge"), "node", "left").select("s", "at", "node", "size", F.coalesce("root", "node").alias("root"))
+    rooted = members.join(roots.hint("merge"), "node", "left").select("s", "at", "node", "size", F.lag("s").over(Window.partitionBy("node").orderBy("at")).alias("prev"), F.coalesce("root", "node").alias("root"))
     split = rooted.groupBy("s").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("s")
     folds = each.select("node", *[F.col("fold")[k].alias(f"f{k}") for k in range(FOLD)]).dropDuplicates(["node"])
     apart = written(rooted.join(split.hint("merge"), "s").join(folds.hint("merge"), "node"), "jaccard-apart")
@@ -201,7 +201,9 @@ def links(each: DataFrame, texts, least: tuple[int, int] = SHARE, words: int = W
     sizes = F.col("x.size") + F.col("y.size")
     # at the first shingle that two sets share, what comes from there on must suffice
     enough = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at")) * (top + bottom) >= sizes * top
-    on = (F.col("x.s") == F.col("y.s")) & (F.col("x.root") < F.col("y.root")) & alike(F.col("x.size"), F.col("y.size")) & enough & (differ * (top + bottom) <= sizes * (bottom - top))
+    # two sets whose shared shingles before this one are the same met there already, with more left
+    fresh = F.coalesce(F.col("x.prev") != F.col("y.prev"), F.lit(True))
+    on = (F.col("x.s") == F.col("y.s")) & (F.col("x.root") < F.col("y.root")) & alike(F.col("x.size"), F.col("y.size")) & enough & fresh & (differ * (top + bottom) <= sizes * (bottom - top))
     rest = x.join(y, on).select(*ordered(F.col("x.node"), F.col("y.node")))
     return first.unionByName(verified(rest, "rest"))
 
